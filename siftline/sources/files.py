@@ -10,6 +10,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Formats, limits, keywords.
 FORMATS = (".pdf", ".docx", ".txt", ".sql", ".png", ".jpg", ".jpeg", ".bmp", ".tif", ".tiff")
@@ -79,7 +80,7 @@ def pdf_text(content: bytes) -> str:
         return "".join(f"\n--- Page {k} ---\n{page.get_text()}" for k, page in enumerate(pages, 1))
 
 
-@F.pandas_udf("struct<text:string,error:string>")
+@F.pandas_udf(StructType([StructField("text", StringType()), StructField("error", StringType())]))
 def _packed(content: pd.Series, suffix: pd.Series) -> pd.DataFrame:
     out = []
     for data, kind in zip(content, suffix, strict=True):
