@@ -89,3 +89,25 @@ def _batch(held: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
 def count_words(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+BITMAP_BITS = 26
+
+
+def _place(key: Column) -> Column:
+    return F.xxhash64(key, F.lit(BITMAP_BITS)).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+
+
+def flagged(rows: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
+    """Adds ``_flag``: true for every row whose ``key`` is among ``keys``'s column ``name``, and by chance for few others.
+
+    The keys go into a bitmap of 2 ** 26 bits, which is broadcast: 8 MiB at
+    most, however many keys there are. Rows without the flag need no join.
+    """
+    place = keys.select(_place(F.col(name)).alias("p"))
+    bits = place.groupBy(F.floor(F.col("p") / 32_768).alias("_bucket")).agg(F.bitmap_construct_agg(F.col("p") % 32_768).alias("_bits"))
+    bits = materialize(bits.coalesce(8), "bitmap")
+    at = _place(key) % 32_768
+    marked = rows.join(F.broadcast(bits), F.floor(_place(key) / 32_768) == F.col("_bucket"), "left")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return marked.withColumn("_flag", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("_bucket", "_bits")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize, read_table
+from .common import flagged, map_rows, materialize, read_table
 from .components import connected_components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -42,14 +42,18 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``doc_id, fp`` (signed 64 bits) of every row of ``docs``; a null text has no word."""
+    """``doc_id, fp`` (signed 64 bits) and ``key``, a hash of id and text, of every row of ``docs``; a null text has no word."""
 
     def rows(source):
         for r in source:
             fp = fingerprint(r["text"], shingle, seed)
-            yield r["doc_id"], fp - (1 << 64) if fp >> 63 else fp
+            yield r["doc_id"], fp - (1 << 64) if fp >> 63 else fp, r["key"]
 
-    return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), rows, "doc_id long, fp long")
+    return map_rows(docs.select(F.col("doc_id").cast("long"), "text", _key().alias("key")), rows, "doc_id long, fp long, key long")
+
+
+def _key() -> Column:
+    return F.xxhash64(F.col("text"), F.lit(1), F.col("doc_id").cast("long"))
 
 
 def _masks(blocks: int, radius: int) -> list[int]:
@@ -162,32 +166,39 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     or only white space has fingerprint zero. No rows give no rows. Other
     columns of ``docs`` are ignored.
     """
+    found = _classes(docs, shingle, radius, seed)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _classes(docs: DataFrame, shingle: int, radius: int, seed: int) -> DataFrame:
+    """``doc_id, fp, key`` of every row, with its component's ``root`` fingerprint and least id."""
     each = materialize(fingerprints(docs, shingle, seed), "fingerprints")
     distinct = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     found = connected_components(links(distinct.select("fp"), radius))
     members = materialize(found.join(distinct, found["node"] == distinct["fp"]).select("fp", "root", "least"), "members")
     least = materialize(members.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    joined = members.join(least, "root").select("fp", "component_id")
-    lookup = materialize(distinct.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "lookup")
-    return each.join(lookup, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    joined = members.join(least, "root").select("fp", "root", "component_id")
+    lookup = materialize(distinct.join(joined, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id")), "lookup")
+    return each.join(lookup, "fp")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component the row with the least ``doc_id`` stays.
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component the row with the least ``doc_id`` stays, null last.
 
-    Of rows that repeat a kept ``doc_id`` one stays. Rows with a null ``doc_id``
-    go where their component holds another row, else one of them stays.
+    Of rows equal in id and text one stays. Rows that only share an id are
+    judged each by its own text. Texts are moved only where a bitmap of fixed
+    size says that their row may have to go.
     """
-    ids = near_duplicates(docs, **options)
-    kept = materialize(ids.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")), "kept").select(F.col("component_id").alias("_kept"))
-    marked = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    repeated = materialize(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return marked
-    twice = repeated.select(F.col("doc_id").alias("_twice"))
-    once = marked.join(twice, marked["doc_id"].eqNullSafe(twice["_twice"]), "left_anti")
-    more = marked.join(twice, marked["doc_id"].eqNullSafe(twice["_twice"]), "left_semi")
-    return once.union(more.dropDuplicates(["doc_id"]))
+    found = materialize(_classes(docs, shingle, radius, seed).select("root", "doc_id", "key"), "classes")
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    best = materialize(best.select("root", F.col("b.key").alias("best")), "best")
+    others = materialize(found.join(best, "root").select(F.col("key").alias("gone"), (F.col("key") == F.col("best")).alias("stays")).distinct(), "others")
+    keyed = flagged(docs.withColumn("_key", _key()), F.col("_key"), others, "gone")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    sure = keyed.where(~F.col("_flag")).select(*columns)
+    asked = keyed.where("_flag").join(others, F.col("_key") == F.col("gone"), "left").where("stays is null or stays")
+    twice = asked.where("stays").dropDuplicates(["_key"])
+    return sure.union(asked.where("stays is null").select(*columns)).union(twice.select(*columns))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
