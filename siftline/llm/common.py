@@ -86,6 +86,11 @@ def _batch(held: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(zip(*held, strict=True), arrow, strict=True)], schema=arrow)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct ``row``, out of the way of added names."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
 def count_words(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import count_words, materialize, read_table
+from .common import count_words, materialize, read_table, whole_row
 
 BUCKETS = 4096
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -118,8 +118,7 @@ def repeat_mixed(docs: DataFrame, weights=WEIGHTS, most: float = MOST, seed: int
     """The rows of ``docs`` as often as the mix takes them."""
     sizes = materialize(_sizes(docs, None), "sizes")
     cuts = plan(sizes, weights, most, seed).select("key", "scale", "cut_rank", "cut_id")
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.lit(1.0).alias("weight"), whole)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.lit(1.0).alias("weight"), whole_row(docs))
     found = _apply(rows, cuts, seed, most)
     return found.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("k")).select("row.*")
 

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table
+from .common import flagged, materialize, read_table, whole_row
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -184,12 +184,15 @@ def mask(docs: DataFrame, options: Bootstrap = Bootstrap()) -> DataFrame:
     """The rows of ``docs`` with all spans replaced by the mark of their kind; ``n_chars`` follows the text.
 
     Of overlapping spans the first's mark stands for both. Null texts stay null.
+    Texts are joined with found spans only where a bitmap of fixed size says that
+    their row may have some.
     """
-    new = discover(scan(docs), options).select(F.col("k1").alias("_a"), F.col("k2").alias("_b"), F.col("new").alias("_new"))
-    k1, k2 = _keys(docs)
-    joined = docs.join(new, (k1 == F.col("_a")) & (k2 == F.col("_b")), "left")
-    text = F.col("text")
-    spans = F.array_sort(F.transform(F.concat(base_spans(text), F.coalesce("_new", F.array().cast(SPAN))), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
+    new = discover(scan(docs), options).select(F.col("k1").alias("a"), F.col("k2").alias("b"), "new")
+    keyed = flagged(docs.select(*_keys(docs), whole_row(docs)), F.col("k1"), new, "a")
+    asked = keyed.where("_flag").join(new, (F.col("k1") == F.col("a")) & (F.col("k2") == F.col("b")), "left").select("row", "new")
+    joined = asked.union(keyed.where("not _flag").select("row", F.lit(None).cast(SPAN)))
+    text = F.col("row.text")
+    spans = F.array_sort(F.transform(F.concat(base_spans(text), F.coalesce("new", F.array().cast(SPAN))), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
     marks = F.create_map(*[F.lit(x) for pair in MARKS.items() for x in pair])
 
     def step(acc, s):
@@ -199,13 +202,14 @@ def mask(docs: DataFrame, options: Bootstrap = Bootstrap()) -> DataFrame:
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     masked = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"].cast("int") + 1, F.length(text))))
-    touched = F.col("_new").isNotNull()
+    touched = F.col("new").isNotNull()
     for hint in HINTS.values():
         touched = touched | text.rlike(hint)
-    out = joined.withColumn("text", F.when(touched, masked).otherwise(text))
+    held = joined.select("row", F.when(touched, masked).otherwise(text).alias("text"))
+    out = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(text.isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        out["n_chars"] = F.when(text.isNull(), F.col("row.n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return held.select(*[out.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

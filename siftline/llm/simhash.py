@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flagged, map_rows, materialize, read_table
+from .common import flagged, map_rows, materialize, read_table, whole_row
 from .components import connected_components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -193,12 +193,10 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
     best = materialize(best.select("root", F.col("b.key").alias("best")), "best")
     others = materialize(found.join(best, "root").select(F.col("key").alias("gone"), (F.col("key") == F.col("best")).alias("stays")).distinct(), "others")
-    keyed = flagged(docs.withColumn("_key", _key()), F.col("_key"), others, "gone")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    sure = keyed.where(~F.col("_flag")).select(*columns)
-    asked = keyed.where("_flag").join(others, F.col("_key") == F.col("gone"), "left").where("stays is null or stays")
-    twice = asked.where("stays").dropDuplicates(["_key"])
-    return sure.union(asked.where("stays is null").select(*columns)).union(twice.select(*columns))
+    keyed = flagged(docs.select(_key().alias("key"), whole_row(docs)), F.col("key"), others, "gone")
+    asked = keyed.where("_flag").join(others, F.col("key") == F.col("gone"), "left").where("stays is null or stays")
+    twice = asked.where("stays").dropDuplicates(["key"])
+    return keyed.where("not _flag").select("row.*").union(asked.where("stays is null").select("row.*")).union(twice.select("row.*"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,12 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siftline.llm import html_text, licenses, media, mixing, packing, pii, quality, secrets, separators, simhash
 from siftline.llm.components import connected_components
 
+CLASHES = ("_key", "key", "_flag", "gone", "stays", "new", "a", "b", "k1", "k2", "_bits", "_bucket")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, row string"
 BASE = "the quick brown fox jumps over the lazy dog and runs far away from all of its many friends today " * 4
 ROWS = [
@@ -137,6 +139,8 @@ def brute_components(texts):
 def test_simhash(docs, empty):
     same(simhash.near_duplicates(docs).collect(), brute_components([(r[0], r[1]) for r in ROWS]))
     assert simhash.near_duplicates(empty).count() == 0
+    clashing = docs.select("*", *[F.lit(n).alias(n) for n in CLASHES])
+    assert {r[len(docs.columns) :] for r in simhash.keep_one(clashing).collect()} == {CLASHES}
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     classes = brute_components([(r[0], r[1]) for r in ROWS])
@@ -244,6 +248,8 @@ def test_pii(docs, empty):
     texts = {i: t for i, t, *_ in ROWS}
     assert {(i, s) for i, s in got if s} == {(None, "email:11:37,phone:43:60"), (7, "card:70001:70020"), (8, f"ip:{texts[8].index('1.2.3.4')}:{texts[8].index('1.2.3.4') + 7}")}
     assert pii.find_pii(docs).count() == len(ROWS) and pii.find_pii(empty).count() == 0
+    clashing = docs.select("*", *[F.lit(n).alias(n) for n in CLASHES])
+    assert [r[len(docs.columns) :] for r in pii.mask(clashing).collect()] == [CLASHES] * len(ROWS)
     masked = pii.mask(docs)
     assert masked.columns == docs.columns and masked.count() == len(ROWS)
     assert "mail me at [EMAIL] now, [PHONE]" in {r["text"] for r in masked.collect()}
