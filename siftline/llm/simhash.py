@@ -3,8 +3,8 @@
 Fingerprints are compared only inside tiles. A tile holds the fingerprints that
 agree on all but ``radius`` of some blocks of bits (a pair within the radius
 agrees on such a choice of blocks, so no link is lost) and whose population
-count is one value; those with a count up to ``radius`` lower visit it. Tile
-pairs with counts further apart are thus never met. Inside a tile numpy takes
+count lies in one band of ``radius + 1`` values; those of the band below visit
+it. Tile pairs with counts further apart are thus never met. Inside a tile numpy takes
 exclusive-or and bit counts. A tile with over ``tile_rows`` rows is dealt again
 by more bits, which bounds it by the few bits left open.
 """
@@ -68,10 +68,11 @@ def _tiles(fps: DataFrame, blocks: int, radius: int) -> DataFrame:
     """A row for each tile a fingerprint belongs to (own) or visits."""
 
     def tile(k: int, mask: int, above: int) -> Column:
-        key = F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(mask).cast("long")), F.bit_count("fp") + F.lit(above))
+        band = F.floor(F.bit_count("fp") / (radius + 1))
+        key = F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(mask).cast("long")), band + F.lit(above))
         return F.struct(key.alias("tile"), F.lit(above == 0).alias("own"))
 
-    rows = [tile(k, m, d) for k, m in enumerate(_masks(blocks, radius)) for d in range(radius + 1)]
+    rows = [tile(k, m, d) for k, m in enumerate(_masks(blocks, radius)) for d in (0, 1)]
     return fps.select("fp", F.explode(F.array(*rows)).alias("t")).select("t.tile", "t.own", "fp")
 
 
@@ -146,8 +147,9 @@ def _compare(rows: DataFrame, radius: int, small: int = 16) -> DataFrame:
     return parted.mapInArrow(run, "a long, b long")
 
 
-def links(fps: DataFrame, radius: int = RADIUS, blocks: int = 4, fine_blocks: int = 8, tile_rows: int = 8192) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS, tile_rows: int = 8192) -> DataFrame:
     """Links that join all distinct fingerprints within ``radius`` bits, perhaps by way of others of them."""
+    blocks, fine_blocks = radius + 2, radius + 6
     rows = materialize(_tiles(fps, blocks, radius), "tiles")
     sizes = rows.groupBy("tile").agg(F.count(F.lit(1)).alias("n"), F.count_if("own").alias("own")).where("n > 1 and own > 0")
     heavy = materialize(sizes.where(F.col("n") > tile_rows).select("tile"), "heavy")

@@ -148,7 +148,8 @@ def test_simhash(docs, empty):
     assert simhash.keep_one(empty).count() == 0
 
 
-def test_links_of_dense_tiles(spark):
+@pytest.mark.parametrize("radius", [2, 4])
+def test_links_of_dense_tiles(spark, radius):
     rng = np.random.default_rng(3)
     seeds = rng.integers(0, 1 << 63, 5, dtype=np.uint64)
     fps = {int(s) for s in seeds}
@@ -167,15 +168,15 @@ def test_links_of_dense_tiles(spark):
 
     for i in range(len(fps)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 2:
+            if (fps[i] ^ fps[j]).bit_count() <= radius:
                 a, b = top(i), top(j)
                 root[max(a, b)] = min(a, b)
     want = {f: fps[top(k)] for k, f in enumerate(fps)}
     for tile_rows in (8192, 10):
-        got = {r["node"]: r["root"] for r in connected_components(simhash.links(table, tile_rows=tile_rows)).collect()}
+        got = {r["node"]: r["root"] for r in connected_components(simhash.links(table, radius, tile_rows)).collect()}
         assert got == {f: r for f, r in want.items() if f in got} and all(f in got or list(want.values()).count(f) == 1 for f in fps)
     x = np.array(fps, np.uint64)
-    assert (x[simhash._components_in(x, 2, block=16)] != x).sum() == sum(f != r for f, r in want.items())
+    assert (x[simhash._components_in(x, radius, block=16)] != x).sum() == sum(f != r for f, r in want.items())
 
 
 def test_secrets(docs, empty):
