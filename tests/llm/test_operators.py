@@ -290,3 +290,55 @@ def test_pipeline(spark):
         docs = corpus_pipeline.materialize(stage(spark, docs, "/root/testdata/sf0.001"), "stage")
         assert k == len(corpus_pipeline.STAGES) - 1 or docs.columns == columns
     assert docs.count() > 0
+
+
+@pytest.mark.parametrize("slice_rows", [7, 16_384])
+def test_links_of_wide_fingerprints(spark, slice_rows):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 1 << 63, (4, 4), dtype=np.uint64)
+    rows = {tuple(x[0])}
+    for k, s in enumerate(x):  # dense groups and, in the last, a loose one at about the radius
+        for _ in range(40):
+            flips = np.zeros(256, np.uint8)
+            flips[rng.choice(256, rng.integers(1, 30 if k == 3 else 12), replace=False)] = 1
+            rows.add(tuple(s ^ np.packbits(flips, bitorder="little").view("<u8")))
+    fps = np.array(sorted(rows), dtype=np.uint64)
+    blocks = np.stack([(fps[:, w] >> np.uint64(12 * k)) & np.uint64(4095) for w in range(4) for k in range(5)], axis=1)
+    root = list(range(len(fps)))
+
+    def top(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if np.bitwise_count(fps[i] ^ fps[j]).sum() <= simhash.WIDE_RADIUS and (blocks[i] == blocks[j]).any():
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    table = spark.createDataFrame(fps.view(np.int64).tolist(), ", ".join(f"{f} long" for f in simhash.WIDE))
+    nodes = {r["node"]: tuple(r[f] for f in simhash.WIDE) for r in table.select(simhash._node().alias("node"), *simhash.WIDE).collect()}
+    place = {tuple(v): k for k, v in enumerate(fps.view(np.int64).tolist())}
+    links = simhash.wide_links(table, slice_rows=slice_rows, small=3)
+    got = {place[nodes[r["node"]]]: place[nodes[r["root"]]] for r in connected_components(links).collect()}
+    groups = lambda label: {frozenset(v for v in range(len(fps)) if label(v) == r) for r in {label(v) for v in range(len(fps))}}
+    assert groups(lambda v: got.get(v, v)) == groups(top)
+    assert len(groups(top)) < len(fps) // 4
+
+
+def test_near_copies_go_and_others_stay(spark):
+    rng = np.random.default_rng(7)
+    words = np.array([f"w{k}" for k in range(3000)])
+    rows, near = [], 0
+    for k in range(60):
+        text = rng.choice(words, int(rng.integers(60, 400)))
+        rows.append((10 * k, " ".join(text)))
+        if k % 3 == 0:  # one change in a hundred words: similarity about 0.9
+            copy = text.copy()
+            copy[rng.choice(len(text), max(1, len(text) // 100), replace=False)] = "other"
+            rows.append((10 * k + 1, " ".join(copy)))
+            near += 1
+        if k % 3 == 1:  # half the words shared as one passage: similarity about 0.3
+            rows.append((10 * k + 2, " ".join([*text[: len(text) // 2], *rng.choice(words, len(text) // 2)])))
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {i for i, _ in rows if i % 10 != 1} and near == 20
