@@ -14,6 +14,10 @@ fingerprints that agree on one of twenty blocks of 12 bits. Two texts of
 similarity 0.8 differ in 15% of bits, so they share a tile with a probability of
 95%, and of over 99.9% from 0.9 on. A tile with over ``slice_rows`` rows is cut into
 slices, and each pair of slices is compared.
+
+Such links are only candidates. The distinct texts of each component of
+candidates meet with their sets of shingles, and only links of exact similarity
+``SIMILARITY`` or more make the components by which texts go.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ SHINGLE, RADIUS, SEED = 3, 2, 42
 #: For near copies. Similarity 0.8 is expected at 39 of 256 differing bits, 0.7 at 49, 0.6 at 59.
 WIDE_SHINGLE, WIDE_RADIUS, WIDE = 5, 44, ("f0", "f1", "f2", "f3")
 BLOCK = 12
+#: Least Jaccard similarity of the shingle sets of near copies.
+SIMILARITY = 0.8
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -60,6 +66,12 @@ def wide_fingerprint(text: bytes | None, shingle: int = WIDE_SHINGLE, seed: int
     return np.packbits(2 * counts > n, bitorder="little").view("<u8")
 
 
+def shingle_set(text: bytes | None, shingle: int = WIDE_SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; a text of fewer words is one shingle."""
+    words = (text or b"").lower().split()
+    return np.unique(np.concatenate([*_hashes(words, min(shingle, len(words)), seed)])) if words else np.zeros(0, "<u8")
+
+
 def _hashes(words: list[bytes], shingle: int, seed: int):
     """Hashes of the shingles, in arrays of bounded size."""
     from xxhash import xxh64_intdigest as h
@@ -276,21 +288,96 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return each.join(lookup, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_classes(docs: DataFrame, shingle: int = WIDE_SHINGLE, radius: int = WIDE_RADIUS, seed: int = SEED) -> DataFrame:
+def similar_roots(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
+    """For each of the sets, none empty, the place of the first one it is joined to by links of that Jaccard similarity.
+
+    A component is searched from its first member, and those found leave the
+    sets still to compare.
+    """
+    size = np.array([len(s) for s in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(size)
+    root, left, flat, mark = np.arange(len(sets)), np.arange(len(sets)), ids, np.zeros(ids.max() + 1, bool)
+    while len(left):
+        first, front = left[0], [left[0]]
+        left, flat = left[1:], flat[size[left[0]] :]
+        while front and len(left):
+            now = front.pop()
+            own = ids[ends[now] - size[now] : ends[now]]
+            mark[own] = True
+            both = np.add.reduceat(mark[flat], np.cumsum(size[left]) - size[left], dtype=np.int64)
+            mark[own] = False
+            near = both >= similarity * (size[left] + size[now] - both) - 1e-9
+            if near.any():
+                root[left[near]] = first
+                front.extend(left[near].tolist())
+                flat = flat[np.repeat(~near, size[left])]
+                left = left[~near]
+    return root
+
+
+def _candidates(texts: DataFrame, radius: int) -> DataFrame:
+    """Edges ``a, b`` between the nodes of ``texts`` that may be similar, perhaps by way of others."""
+    rows = materialize(texts.select("node", F.explode("buckets").alias("bucket")), "buckets")
+    shared = materialize(rows.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("bucket", "least"), "shared")
+    stars = rows.join(shared, "bucket").select(F.col("node").alias("a"), F.col("least").alias("b")).where("a <> b")
+    first = materialize(texts.groupBy(_node().alias("fp")).agg(F.min("node").alias("least")), "first")
+    found = materialize(wide_links(texts.select(*WIDE).distinct(), radius).distinct(), "links")
+    ends = [first.select(F.col("fp").alias(x), F.col("least").alias(f"{x}_least")) for x in "ab"]
+    return stars.union(found.join(ends[0], "a").join(ends[1], "b").select("a_least", "b_least"))
+
+
+def _verified(docs: DataFrame, each: DataFrame, loose: DataFrame, shingle: int, seed: int, similarity: float) -> DataFrame:
+    """``node, top`` of every text of the components ``loose``: one top for those joined by links of exact similarity."""
+    reps = materialize(each.groupBy("node").agg(F.min("key").alias("rep")).join(loose, "node"), "reps")
+    asked = flagged(docs.select("text", _key().alias("key")), F.col("key"), reps, "rep").where("_flag").select("text", "key")
+
+    def rows(source):
+        for r in source:
+            yield r["key"], shingle_set(r["text"], shingle, seed).tobytes()
+
+    sets = map_rows(asked, rows, "key long, shingles binary").join(reps, F.col("key") == F.col("rep")).select(F.col("root").alias("part"), "node", "shingles")
+
+    def run(batches):
+        def out(held):
+            sets = {n: np.frombuffer(s, "<u8") for n, s in held if s}
+            nodes = list(sets)
+            roots = similar_roots(list(sets.values()), similarity) if nodes else []
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([nodes[k] for k in roots], pa.int64())], names=["node", "top"])
+
+        part, held = None, []
+        for batch in batches:
+            for p, n, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if p != part and held:
+                    yield out(held)
+                    held = []
+                part = p
+                held.append((n, s))
+        if held:
+            yield out(held)
+
+    return materialize(sets.repartition("part").sortWithinPartitions("part").mapInArrow(run, "node long, top long"), "verified")
+
+
+def near_classes(docs: DataFrame, shingle: int = WIDE_SHINGLE, radius: int = WIDE_RADIUS, seed: int = SEED, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, key, root`` of every row of ``docs``: rows with one root are near copies, ``key`` is a hash of id and text."""
 
     def rows(source):
+        from xxhash import xxh64_intdigest as h
+
         for r in source:
-            yield r["doc_id"], r["key"], *wide_fingerprint(r["text"], shingle, seed).view(np.int64).tolist()
+            node = h(b" ".join((r["text"] or b"").lower().split()), seed)
+            yield r["doc_id"], r["key"], node - (1 << 64) if node >> 63 else node, *wide_fingerprint(r["text"], shingle, seed).view(np.int64).tolist()
 
     asked = docs.select(F.col("doc_id").cast("long"), "text", _key().alias("key"))
-    each = materialize(map_rows(asked, rows, "doc_id long, key long, f0 long, f1 long, f2 long, f3 long"), "fingerprints")
-    distinct = materialize(each.select(*WIDE).distinct(), "distinct")
-    found = connected_components(wide_links(distinct, radius))
-    return each.select("doc_id", "key", _node().alias("node")).join(found, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
+    each = materialize(map_rows(asked, rows, "doc_id long, key long, node long, f0 long, f1 long, f2 long, f3 long"), "fingerprints")
+    texts = materialize(each.groupBy("node").agg(*[F.first(f).alias(f) for f in WIDE]).withColumn("buckets", F.array(_node())), "texts")
+    loose = connected_components(_candidates(texts, radius))
+    found = _verified(docs, each, loose, shingle, seed, similarity)
+    return each.select("doc_id", "key", "node").join(found, "node", "left").select("doc_id", "key", F.coalesce("top", "node").alias("root"))
 
 
-def keep_one(docs: DataFrame, shingle: int = WIDE_SHINGLE, radius: int = WIDE_RADIUS, seed: int = SEED) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = WIDE_SHINGLE, radius: int = WIDE_RADIUS, seed: int = SEED, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row with the least ``doc_id`` stays, null last.
 
     Of rows equal in id and text one stays. Rows that only share an id are
@@ -298,7 +385,7 @@ def keep_one(docs: DataFrame, shingle: int = WIDE_SHINGLE, radius: int = WIDE_RA
     other. Texts are moved only where a bitmap of fixed size says that their row
     may have to go.
     """
-    found = materialize(near_classes(docs, shingle, radius, seed), "classes")
+    found = materialize(near_classes(docs, shingle, radius, seed, similarity), "classes")
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
     best = materialize(best.select("root", F.col("b.key").alias("best")), "best")
     others = materialize(found.join(best, "root").select(F.col("key").alias("gone"), (F.col("key") == F.col("best")).alias("stays")).distinct(), "others")

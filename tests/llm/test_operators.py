@@ -342,3 +342,28 @@ def test_near_copies_go_and_others_stay(spark):
             rows.append((10 * k + 2, " ".join([*text[: len(text) // 2], *rng.choice(words, len(text) // 2)])))
     kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == {i for i, _ in rows if i % 10 != 1} and near == 20
+
+
+def test_near_copies_are_verified(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(40):  # changes far apart, each of five shingles: similarity about 0.68, 0.87 and, by way of the third, both
+        text = np.array([f"v{w}" for w in rng.integers(0, 10**6, 404)])
+        rows.append((10 * k, " ".join(text)))
+        changes = rng.choice(np.arange(2, 400, 6), 15, replace=False)
+        part = text.copy()
+        part[changes] = "other"
+        rows.append((10 * k + 1, " ".join(part)))
+        if k % 2:
+            part = text.copy()
+            part[changes[:6]] = "other"
+            rows.append((10 * k + 2, " ".join(part)))
+    sets = {i: set(simhash.shingle_set(t.encode()).tolist()) for i, t in rows}
+    similarity = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    wanted = {i for i, _ in rows if i % 10 == 0 or i % 20 == 1}
+    assert all(similarity(10 * k, 10 * k + 1) < 0.8 for k in range(40)) and all(similarity(10 * k, 10 * k + 2) >= 0.8 and similarity(10 * k + 1, 10 * k + 2) >= 0.79 for k in range(1, 40, 2))
+    fps = {i: simhash.wide_fingerprint(t.encode()) for i, t in rows}
+    assert any(np.bitwise_count(fps[10 * k] ^ fps[10 * k + 1]).sum() <= simhash.WIDE_RADIUS for k in range(0, 40, 2))
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept - {i for i in kept if i % 20 == 11} == wanted
+    assert all((10 * k + 1 in kept) == (similarity(10 * k + 1, 10 * k + 2) < 0.8) for k in range(1, 40, 2))
