@@ -367,3 +367,21 @@ def test_near_copies_are_verified(spark):
     kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept - {i for i in kept if i % 20 == 11} == wanted
     assert all((10 * k + 1 in kept) == (similarity(10 * k + 1, 10 * k + 2) < 0.8) for k in range(1, 40, 2))
+
+
+def test_near_copies_outside_the_radius_are_found(spark):
+    rng = np.random.default_rng(13)
+    rows, far = [], 0
+    while far < 20:  # pairs of similarity 0.8 to 0.82 that the radius or the tiles miss
+        text = np.array([f"u{w}" for w in rng.integers(0, 10**6, 404)])
+        copy = text.copy()
+        copy[rng.choice(np.arange(2, 400, 6), 8, replace=False)] = "other"
+        a, b = (" ".join(x) for x in (text, copy))
+        x, y = (simhash.wide_fingerprint(t.encode()) for t in (a, b))
+        s, t = (set(simhash.shingle_set(t.encode()).tolist()) for t in (a, b))
+        assert 0.8 <= len(s & t) / len(s | t) < 0.83
+        if np.bitwise_count(x ^ y).sum() > simhash.WIDE_RADIUS:
+            rows += [(10 * far, a), (10 * far + 1, b)]
+            far += 1
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {10 * k for k in range(20)}
