@@ -1,7 +1,9 @@
 """Personal data by base patterns and bootstrapped contextual extraction, in DataFrame expressions only.
 
-Base patterns give seed entities. Every identifier-like token of the corpus is
-an instance; the two words before it are its lexical pattern. Seeds score
+Base patterns give seed entities. Those, and every identifier-like token or
+grouped number of the corpus beside them, are instances; the two words before
+the whole instance are its lexical pattern, where identifiers and numbers are
+all the same word. Seeds score
 patterns (the mean score of a pattern's distinct instances, for one kind),
 patterns score instances that are no seeds (the best of the patterns they occur
 in), and the two repeat. A pattern with enough distinct seeds and a high score
@@ -36,16 +38,21 @@ HINTS = {
     "phone": r"\+[0-9][\x20().0-9-]",
 }
 TOKEN = r"(?<![A-Za-z0-9@._+-])(?=[A-Za-z._+-]*+[0-9@])[A-Za-z0-9+][A-Za-z0-9@._+-]{4,}+"
+#: What may stand between two digits of a grouped number.
+GAP = r"(?:\x20?\(|\)[\x20-]?|[\x20.-])?"
+GROUPED = rf"(?<![A-Za-z0-9@._+(-])\+?\(?[0-9](?:{GAP}[0-9]){{8,18}}+(?!{GAP}[0-9]|[A-Za-z0-9@_]|[@._+-]+[A-Za-z])"
+INSTANCE = f"{GROUPED}|{TOKEN}"
 BEFORE = r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$"
 SHAPES = {
     "email": r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*$",
     "ip": r"^[0-9]{1,3}(?:\.[0-9]{1,3}){2,3}\.?$",
-    "card": r"^[0-9]{12,19}\.?$",
-    "phone": r"^\+?[0-9][0-9.-]{7,14}$",
+    "card": r"^[0-9](?:[\x20-]?[0-9]){11,18}\.?$",
+    "phone": rf"^\+?[0-9][0-9.-]{{7,14}}$|^\+?\(?[0-9](?:{GAP}[0-9]){{8,14}}$",
 }
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 SPAN = "array<struct<kind:string,start:long,stop:long>>"
 TOKENS = "array<struct<value:string,pattern:string,start:long,stop:long>>"
+SEEDS = "array<struct<kind:string,start:long,stop:long,value:string,pattern:string>>"
 
 
 @dataclass(frozen=True)
@@ -88,6 +95,29 @@ def _located(text: Column, pattern: str) -> Column:
     return F.aggregate(parts, first, step, lambda acc: acc["out"])
 
 
+def _pattern(text: Column, start: Column) -> Column:
+    """The two words before a place, in lower case and without marks at their ends; ``#`` for an identifier or number."""
+    ahead = F.concat(F.lit(" "), text.substr(F.greatest(start - 199, F.lit(1)).cast("int"), F.least(start, F.lit(200)).cast("int")))
+    bare = lambda g: F.regexp_replace(F.lower(F.regexp_extract(ahead, BEFORE, g)), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    word = lambda g: F.regexp_replace(bare(g), r"^.*(?:@|[0-9]{3}).*$", "#")
+    return F.concat_ws(" ", word(1), word(2))
+
+
+def _seeds(text: Column) -> Column:
+    """``SEEDS`` of the base patterns, by kind as listed, then start."""
+
+    def of(kind: str) -> Column:
+        stand = F.filter(_located(text, PATTERNS[kind]), lambda m: _stands(kind, m["value"]))
+        spans = F.transform(stand, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), (m["start"] + F.length(m["value"])).alias("stop"), m["value"].alias("value"), _pattern(text, m["start"]).alias("pattern")))
+        return F.when(text.rlike(HINTS[kind]), spans).otherwise(F.array().cast(SEEDS))
+
+    return F.concat(*map(of, KINDS))
+
+
+def _spans(seeds: Column) -> Column:
+    return F.transform(seeds, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
+
+
 def base_spans(text: Column) -> Column:
     """``array<struct<kind, start, stop>>`` of the base patterns, by kind as listed, then start."""
 
@@ -104,16 +134,13 @@ def _of_kind(spans: Column, kind: str) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Identifier-like tokens with the two words before them, in lower case and without marks at their ends."""
+    """Identifier-like tokens and grouped numbers with the two words before them."""
 
     def one(m):
-        ahead = F.concat(F.lit(" "), F.right(m["ahead"], F.lit(200)))
         value = F.regexp_replace(m["value"], r"[._+-]+$", "")
-        word = lambda g: F.regexp_replace(F.lower(F.regexp_extract(ahead, BEFORE, g)), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-        return F.struct(value.alias("value"), F.concat_ws(" ", word(1), word(2)).alias("pattern"), m["start"].alias("start"), (m["start"] + F.length(value)).alias("stop"))
+        return F.struct(value.alias("value"), _pattern(text, m["start"]).alias("pattern"), m["start"].alias("start"), (m["start"] + F.length(value)).alias("stop"))
 
-    found = F.filter(F.transform(_located(text, TOKEN), one), lambda t: F.length(t["pattern"]) > 1)
-    return F.when(text.rlike(r"[0-9]{3}|@"), found).otherwise(F.array().cast(TOKENS))
+    return F.when(text.rlike("[0-9@]"), F.transform(_located(text, INSTANCE), one)).otherwise(F.array().cast(TOKENS))
 
 
 def _keys(docs: DataFrame) -> list[Column]:
@@ -123,19 +150,21 @@ def _keys(docs: DataFrame) -> list[Column]:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """``doc_id, k1, k2, base, tokens`` of every row, written out; whole texts are read once."""
+    """``doc_id, k1, k2, base, seeds, tokens`` of every row, written out; whole texts are read once."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return materialize(docs.select(F.col("doc_id").cast("long"), *_keys(docs), base_spans(text).alias("base"), tokens(text).alias("tokens")), "scan")
+    found = materialize(docs.select(F.col("doc_id").cast("long"), *_keys(docs), _seeds(text).alias("seeds"), tokens(text).alias("tokens")), "scan")
+    return found.withColumn("base", _spans(F.col("seeds")))
 
 
 def discover(found: DataFrame, options: Bootstrap = Bootstrap()) -> DataFrame:
     """``k1, k2, new``: spans that trusted patterns add to rows of ``scan``."""
-    each = found.where("size(tokens) > 0").select("k1", "k2", "base", F.explode("tokens").alias("t"))
-    overlap = F.filter("base", lambda b: (b["start"] < F.col("t.stop")) & (F.col("t.start") < b["stop"]))
-    exact = F.filter(overlap, lambda b: b["start"] <= F.col("t.start"))
-    places = each.select("k1", "k2", "t.*", F.get(exact, F.lit(0))["kind"].alias("seed"), (F.size(overlap) > 0).alias("covered"))
+    apart = F.filter("tokens", lambda t: ~F.exists("seeds", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
+    others = F.transform(apart, lambda t: F.struct(t["value"].alias("value"), t["pattern"].alias("pattern"), t["start"].alias("start"), t["stop"].alias("stop"), F.lit(None).cast("string").alias("seed")))
+    seeds = F.transform("seeds", lambda s: F.struct(s["value"].alias("value"), s["pattern"].alias("pattern"), s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("seed")))
+    each = found.where("size(tokens) > 0 or size(seeds) > 0").select("k1", "k2", F.explode(F.concat(seeds, others)).alias("t"))
+    places = each.select("k1", "k2", "t.*").where("length(pattern) > 1")
     places = materialize(places, "places")
-    graph = places.where("seed is not null or not covered").groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
+    graph = places.groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
     sums = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("seed") == k).alias(k) for k in KINDS])
     # Only patterns with enough seeds of a kind can ever be trusted; the others' edges play no part.
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("seeds")) for k in KINDS]))
@@ -149,7 +178,7 @@ def discover(found: DataFrame, options: Bootstrap = Bootstrap()) -> DataFrame:
         unseen = edges.join(instances, (F.col("value") == F.col("v")) & (F.col("kind") == F.col("k"))).groupBy(F.col("p").alias("p2"), F.col("kind").alias("k2")).agg(F.sum(F.when(_shaped(), F.col("best")).otherwise(0.0)).alias("more"))
         scores = patterns.join(unseen, (F.col("p") == F.col("p2")) & (F.col("kind") == F.col("k2")), "left").select("p", "kind", ((F.col("seeds") + F.coalesce("more", F.lit(0.0))) / F.col("n")).alias("score"))
     trusted = materialize(scores.where(F.col("score") >= options.score), "trusted").select(F.col("p").alias("p2"), "kind")
-    new = places.where("not covered").join(trusted, F.col("pattern") == F.col("p2")).where(_shaped())
+    new = places.where("seed is null").join(trusted, F.col("pattern") == F.col("p2")).where(_shaped())
     return materialize(new.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "stop"))).alias("new")), "new")
 
 

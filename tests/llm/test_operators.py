@@ -385,3 +385,16 @@ def test_near_copies_outside_the_radius_are_found(spark):
             far += 1
     kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == {10 * k for k in range(20)}
+
+
+def test_pii_contexts_of_whole_spans(spark):
+    cards = ["4111 1111 1111 1111", "4012 8888 8888 1881", "5555 5555 5555 4444", "5105 1051 0510 5100", "4222-2222-2222-2220", "6011-1111-1111-1117", "3782 8224 6310 005", "3714 4963 5398 431", "3056 9309 0259 04", "3852 0000 0232 37", "6011 0009 9013 9424", "3530 1113 3330 0000"]
+    rows = [(k, f"please call me at +1 (017) 555-77{k:02d} today") for k in range(12)]
+    rows += [(20 + k, f"please charge card number {c} now") for k, c in enumerate(cards)]
+    rows += [(40 + k, f"write to a{k}@x.com, b@x.com and {c} now") for k, c in enumerate(cards)]
+    rows += [(60 + k, f"alias of user u{k}@mail.example.com ok") for k in range(12)]
+    unseen = {80: ("call me at 017 555-7799 soon", "phone", "017 555-7799"), 81: ("charge card number 4111 1111 1111 1112 now", "card", "4111 1111 1111 1112"), 82: ("charge card number 4111-1111-1111-1112 now", "card", "4111-1111-1111-1112"), 83: ("write to c@x.com and 4111 1111 1111 1112 now", "card", "4111 1111 1111 1112"), 84: ("alias of user someone@localhost ok", "email", "someone@localhost")}
+    rows += [(i, t) for i, (t, _, _) in unseen.items()]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (text, kind, value) in unseen.items():
+        assert f"{kind}:{text.index(value)}:{text.index(value) + len(value)}" in got[i].split(","), (i, got[i])
