@@ -5,6 +5,9 @@ licence sentences. The sequence of identifiers found (other sentences leave no
 trace in it, but end a rule's match if they stand inside) is matched against
 rules, the more specific first: a rule is an ordered sequence of identifiers,
 and a match uses its sentences up.
+
+A line's end, a semicolon, a colon and ``v.`` may end a sentence or stand inside
+one, as in wrapped texts. Numbers of list items and URLs are left out.
 """
 
 from __future__ import annotations
@@ -65,9 +68,20 @@ RULES = (
     ("MPL-2.0", ("mpl-notice",)),
     ("all-rights-reserved", ("rights",)),
 )
-#: A sentence ends at a line's end or after a mark that white space follows.
-SENTENCE_END = r"\n|(?<=[.!?;:])[\x20\x09-\x0D]+"
-NOT_WORD = r"[^\p{L}\p{N}]+"
+#: Signs for the end of a sentence, for a place where one may end, and for a known sentence.
+END, BREAK, KNOWN = "\ue000", "\ue001", "\ue002"
+WHITE = r"[\x20\x09-\x0D]"
+#: Applied in this order to a text in lower case.
+STEPS = (
+    (f"[{END}{BREAK}{KNOWN}]", " "),
+    (r"https?://[^\x20\x09-\x0D]+", "\n"),
+    (rf"(?<=^|\n|[.!?;:]{WHITE})(?:{WHITE}*+(?:\(?[0-9]{{1,2}}[.)]|\([a-z]\)))(?={WHITE})", "\n"),
+    (rf"(?<=[.!?])(?<!(?<![\p{{L}}\p{{N}}])v\.){WHITE}+|\n[\x20\x09\x0B-\x0D]*\n", END),
+    (rf"(?<=[;:]|v\.){WHITE}+|\n", BREAK),
+    (rf"[^\p{{L}}\p{{N}}{END}{BREAK}]+", " "),
+    (f"[{END}{BREAK}\\x20]*{END}[{END}{BREAK}\\x20]*", f" {END} "),
+    (f"[{BREAK}\\x20]*{BREAK}[{BREAK}\\x20]*", f" {BREAK} "),
+)
 
 
 def hint(sentences: dict[str, str]) -> str:
@@ -77,9 +91,16 @@ def hint(sentences: dict[str, str]) -> str:
 
 def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     """``array<string>``: for each sentence of the text with a word its identifier, or ``-``."""
-    known = F.create_map(*[F.lit(x) for k, s in sentences.items() for x in (s, k)])
-    parts = F.transform(F.split(text, SENTENCE_END, -1), lambda s: F.trim(F.regexp_replace(F.lower(s), NOT_WORD, " ")))
-    ids = F.transform(F.filter(parts, lambda s: s != ""), lambda s: F.coalesce(F.try_element_at(known, s), F.lit("-")))
+    out = F.lower(text)
+    for pattern, sign in STEPS:
+        out = F.regexp_replace(out, pattern, sign)
+    out = F.concat(F.lit(f" {END} "), F.trim(out), F.lit(f" {END} "))
+    # The longer first: a sentence may begin with another one.
+    for k, s in sorted(sentences.items(), key=lambda x: -len(x[1])):
+        pattern = f"(?<=[{END}{BREAK}] )" + f"(?: {BREAK})? ".join(s.split()) + f"(?= [{END}{BREAK}])"
+        out = F.regexp_replace(out, pattern, KNOWN + k)
+    parts = F.filter(F.transform(F.split(out, f"[{END}{BREAK}]", -1), lambda s: F.trim(s)), lambda s: s != "")
+    ids = F.transform(parts, lambda s: F.when(s.startswith(KNOWN), F.substring(s, 2, 1000)).otherwise("-"))
     return F.when(text.rlike(hint(sentences)), ids).otherwise(F.array().cast("array<string>"))
 
 
