@@ -7,7 +7,10 @@ children. The node with the greatest sum is the core. The least density on the
 path from the core up to the body is the threshold: on that path, side branches
 that reach it belong to the text as well. Elements that by name, role or class
 are no article text (menus, adverts, forms, comments and so on) are left out
-before; where the page marks an article, its body is that element.
+before. Where the page marks an article (else a main element) that holds at least
+as many characters as the core has outside it, the body of the path is that
+element and the core is searched in it. Other such elements of the threshold's
+density belong to the text as well.
 """
 
 from __future__ import annotations
@@ -165,29 +168,39 @@ def weigh(root: Node) -> None:
         n.sum = sum(c.density for c in n.children)
 
 
+def _above(node: Node, top: Node) -> list[Node]:
+    """The path from a node up to ``top``, both included."""
+    path = [node]
+    while path[-1] is not top and path[-1].parent is not None:
+        path.append(path[-1].parent)
+    return path
+
+
 def main_text(html: bytes | None) -> str:
     """The text of a page's article: blocks in page order, joined by line feeds; empty if there is none."""
     root, texts = parse((html or b"").decode("utf-8", "replace"))
     weigh(root)
     nodes = _walk(root)
     marked = [n for n in nodes if n.tag == "article" and n.chars] or [n for n in nodes if n.tag == "main" and n.chars]
-    top = max(marked, key=lambda n: (n.sum, n.chars)) if marked else root
-    taken = set()
+    core, top = max(nodes, key=lambda n: n.sum), root
     if marked:
-        taken.update(map(id, _walk(top)))
-    else:
-        core = max(_walk(top), key=lambda n: n.sum)
-        path = [core]
-        while path[-1] is not top:
-            path.append(path[-1].parent)
-        least = min((n.density for n in path if n.tag != "html" or n is core), default=0.0)
-        taken.update(map(id, _walk(core)))
-        on_path = set(map(id, path))
-        for n in path[1:]:
-            taken.add(id(n))
-            for c in n.children:
-                if id(c) not in on_path and c.density >= least:
-                    taken.update(map(id, _walk(c)))
+        best = max(marked, key=lambda n: (n.chars, n.sum))
+        within, around = best in _above(core, root), core in _above(best, root)
+        outside = 0 if within else core.chars - best.chars if around else core.chars
+        if best.chars >= outside:
+            core, top = max(_walk(best), key=lambda n: n.sum), best
+    path = _above(core, top)
+    least = min((n.density for n in path if n.tag != "html" or n is core), default=0.0)
+    taken = set(map(id, _walk(core)))
+    on_path = set(map(id, path))
+    for n in path[1:]:
+        taken.add(id(n))
+        for c in n.children:
+            if id(c) not in on_path and c.density >= least:
+                taken.update(map(id, _walk(c)))
+    for n in marked:
+        if id(n) not in on_path and n.density >= least:
+            taken.update(map(id, _walk(n)))
     blocks: dict[int, list[str]] = {}
     for node, block, text in texts:
         if id(node) in taken:

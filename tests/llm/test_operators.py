@@ -424,3 +424,14 @@ def test_licenses_as_published(spark):
         wanted[1000 + k] = (len(sequence), name, 1)
     got = licenses.recognise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: (r["n_sentences"], r["licenses"], r["n_matches"]) for r in got} == wanted
+
+
+def test_main_text_beside_articles():
+    body = [f"Sentence {k} of the text is long enough to count, and it says something new." for k in range(6)]
+    text = "".join(f"<p>{x}</p>" for x in body)
+    card = "<article class='card'><p>Short card.</p></article>"
+    for page in (f"<main>{text}</main>{card}", f"<div>{text}</div>{card}", f"<div><div>{text}</div>{card}</div>"):
+        got = html_text.main_text(f"<html><body>{page}</body></html>".encode())
+        assert all(x in got for x in body), page
+    two = html_text.main_text(f"<body><article>{text}</article><article>{text.replace('new', 'old')}</article></body>".encode())
+    assert all(x in two and x.replace("new", "old") in two for x in body)
