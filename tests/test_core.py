@@ -2,7 +2,11 @@
 
 import random
 import re
+import shutil
+import subprocess
+import sys
 import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -193,3 +197,13 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("gone", [("siftline/llm", "tests/llm"), ("siftline/llm", "tests/llm", "corpus_pipeline.py")])
+def test_rest_stands_alone(tmp_path, gone):
+    copy = tmp_path / "copy"
+    shutil.copytree(Path(__file__).resolve().parent.parent, copy, ignore=shutil.ignore_patterns(".git", "__pycache__"))
+    for name in gone:
+        shutil.rmtree(copy / name) if (copy / name).is_dir() else (copy / name).unlink(missing_ok=True)
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert 'quick_scan' in q and set(o) <= set(q); assert not [n for n in q if n == 'pipeline' or n[:2] == 'op']"
+    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True)
