@@ -10,6 +10,46 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 STRIP = r"(?U)^\s+|\s+$"
+#: Characters in a page of a text.
+PAGE = 4096
+
+
+def pages(text: Column) -> Column:
+    """A text in pages of ``PAGE`` characters: places in it are then found without a walk from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0))
+
+
+def cut(paged: Column, start: Column, stop: Column) -> Column:
+    """The part of a text in pages from ``start`` up to ``stop``."""
+    first = F.floor(start / PAGE).cast("int")
+    part = F.slice(paged, first + 1, F.floor(stop / PAGE).cast("int") - first + 1)
+    return F.array_join(part, "").substr((start - first * PAGE + 1).cast("int"), (stop - start).cast("int"))
+
+
+def folded(items: Column, state: dict[str, Column], step, kind: str, chunk: int = 256) -> Column:
+    """``array<kind>`` of what ``step(state, item)`` gives out: it returns the next state, a value, and whether to keep it.
+
+    Values gather in chunks, so a fold over many items does not copy all its output at each of them.
+    """
+    part, parts = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+    first = F.struct(*[v.alias(k) for k, v in state.items()], part.alias("_part"), parts.alias("_parts"))
+
+    def one(acc, item):
+        now, value, keep = step(acc, item)
+        full = F.size(acc["_part"]) >= chunk
+        grown = F.when(full, F.array(value)).otherwise(F.concat(acc["_part"], F.array(value)))
+        return F.struct(
+            *[now[k].alias(k) for k in state],
+            (grown if keep is None else F.when(keep, grown).otherwise(acc["_part"])).alias("_part"),
+            F.when(full if keep is None else full & keep, F.concat(acc["_parts"], F.array(acc["_part"]))).otherwise(acc["_parts"]).alias("_parts"),
+        )
+
+    return F.aggregate(items, first, one, lambda acc: F.flatten(F.concat(acc["_parts"], F.array(acc["_part"]))))
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once; inside lambdas a column is computed wherever it stands."""
+    return F.transform(F.array(value), body)[0]
 
 
 def strip(value: Column) -> Column:
@@ -27,7 +67,6 @@ def _edges(value: Column, head: int, tail: int) -> Column:
 
 def mask_value(value: Column) -> Column:
     """Short values as stars; an address keeps two letters (one of a short name) and its domain; others three and four characters."""
-    name, domain = F.substring_index(value, "@", 1), F.expr("null")
     at = F.instr(value, "@")
     domain = value.substr(at + 1, F.length(value))
     name = value.substr(F.lit(1), at - 1)
