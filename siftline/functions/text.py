@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 STRIP = r"(?U)^\s+|\s+$"
 #: Characters in a page of a text.
 PAGE = 4096
+CHUNK = 256
 
 
 def pages(text: Column) -> Column:
@@ -26,30 +27,32 @@ def cut(paged: Column, start: Column, stop: Column) -> Column:
     return F.array_join(part, "").substr((start - first * PAGE + 1).cast("int"), (stop - start).cast("int"))
 
 
-def folded(items: Column, state: dict[str, Column], step, kind: str, chunk: int = 256) -> Column:
-    """``array<kind>`` of what ``step(state, item)`` gives out: it returns the next state, a value, and whether to keep it.
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once; inside lambdas a column is computed wherever it stands."""
+    return F.transform(F.array(value), body)[0]
 
-    Values gather in chunks, so a fold over many items does not copy all its output at each of them.
-    """
-    part, parts = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
-    first = F.struct(*[v.alias(k) for k, v in state.items()], part.alias("_part"), parts.alias("_parts"))
 
-    def one(acc, item):
-        now, value, keep = step(acc, item)
-        full = F.size(acc["_part"]) >= chunk
-        grown = F.when(full, F.array(value)).otherwise(F.concat(acc["_part"], F.array(value)))
-        return F.struct(
-            *[now[k].alias(k) for k in state],
-            (grown if keep is None else F.when(keep, grown).otherwise(acc["_part"])).alias("_part"),
-            F.when(full if keep is None else full & keep, F.concat(acc["_parts"], F.array(acc["_part"]))).otherwise(acc["_parts"]).alias("_parts"),
-        )
+def running(values: Column, zero: Column, join) -> Column:
+    """For each value ``join`` of all before it. In chunks: a fold copies what it has gathered at every step."""
 
-    return F.aggregate(items, first, one, lambda acc: F.flatten(F.concat(acc["_parts"], F.array(acc["_part"]))))
+    def within(part, base):
+        first = F.struct(base.alias("at"), F.array_repeat(base, 0).alias("out"))
+        return F.aggregate(part, first, lambda acc, x: F.struct(join(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
 
+    def over(parts):
+        totals = F.transform(parts, lambda p: F.aggregate(p, zero, lambda a, x: join(a, x)))
+        return let(within(totals, zero), lambda bases: F.flatten(F.transform(parts, lambda p, j: within(p, F.get(bases, j)))))
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once; inside lambdas a column is computed wherever it stands."""
-    return F.transform(F.array(value), body)[0]
+    parts = lambda v: F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(v) - 1, F.lit(0)) / CHUNK).cast("int")), lambda j: F.slice(v, j * CHUNK + 1, CHUNK))
+    return let(values, lambda v: let(parts(v), over))
+
+
+def located(text: Column, regex: str) -> Column:
+    """``array<struct<value, start>>`` of a pattern's matches, from the pieces between them."""
+    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("value"), F.split(text, regex, -1).alias("ahead"))
+    ends = lambda ps: running(F.transform(ps, lambda p: F.length(p["ahead"]) + F.length(p["value"])), F.lit(0), lambda a, x: a + x)
+    placed = lambda ps: let(ends(ps), lambda es: F.transform(ps, lambda p, i: F.struct(p["value"].alias("value"), (F.get(es, i) + F.length(p["ahead"])).alias("start"))))
+    return let(F.filter(pairs, lambda p: p["value"].isNotNull()), placed)
 
 
 def strip(value: Column) -> Column:
