@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import cut, let, located, pages, running
 from .common import flagged, materialize, read_table, whole_row
 
 KINDS = ("email", "ip", "card", "phone")
@@ -42,7 +43,12 @@ TOKEN = r"(?<![A-Za-z0-9@._+-])(?=[A-Za-z._+-]*+[0-9@])[A-Za-z0-9+][A-Za-z0-9@._
 GAP = r"(?:\x20?\(|\)[\x20-]?|[\x20.-])?"
 GROUPED = rf"(?<![A-Za-z0-9@._+(-])\+?\(?[0-9](?:{GAP}[0-9]){{8,18}}+(?!{GAP}[0-9]|[A-Za-z0-9@_]|[@._+-]+[A-Za-z])"
 INSTANCE = f"{GROUPED}|{TOKEN}"
-BEFORE = r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$"
+#: A text read backwards: white space, a word, white space, a word.
+BACK = r"^([\x20\x09-\x0D]*+)([^\x20\x09-\x0D]*+)([\x20\x09-\x0D]*+)([^\x20\x09-\x0D]*+)"
+#: Characters before a place that are looked at for its two words; the next number where they are not whole in the one before.
+REACHES = (128, 8192)
+#: A word with this is an identifier or number among the words before a place.
+IDENTIFIER = r"@|[0-9][.()-]{0,2}[0-9][.()-]{0,2}[0-9]"
 SHAPES = {
     "email": r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*$",
     "ip": r"^[0-9]{1,3}(?:\.[0-9]{1,3}){2,3}\.?$",
@@ -82,36 +88,32 @@ def _stands(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _located(text: Column, pattern: str) -> Column:
-    """``array<struct<value, ahead, start>>``: each match, the text between it and the last, and where it starts."""
-    parts = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"), F.split(text, pattern, -1).alias("ahead"))
-    parts = F.filter(parts, lambda p: p["value"].isNotNull())
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<value:string,ahead:string,start:long>>").alias("out"))
+def _plain(word: Column) -> Column:
+    """A word of a pattern: lower case, without marks at its ends; ``#`` for an identifier or number. Over 64 characters its digest stands for it."""
+    bare = F.regexp_replace(F.lower(word), r"^[^\p{L}\p{N}]++|(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$", "")
+    return F.when(word.rlike(IDENTIFIER), F.lit("#")).when(F.length(bare) > 64, F.md5(bare)).otherwise(bare)
 
-    def step(acc, p):
-        start = acc["at"] + F.length(p["ahead"])
-        return F.struct((start + F.length(p["value"])).alias("at"), F.concat(acc["out"], F.array(F.struct(p["value"].alias("value"), p["ahead"].alias("ahead"), start.alias("start")))).alias("out"))
 
-    return F.aggregate(parts, first, step, lambda acc: acc["out"])
+def _pattern(paged: Column, start: Column, reaches: tuple[int, ...] = REACHES) -> Column:
+    """The two words before a place. Empty where they and the white space about them take the last reach or more."""
+    first = F.greatest(start - reaches[0], F.lit(0))
+    word = lambda back, g: _plain(F.reverse(F.regexp_extract(back, BACK, g)))
+    held = lambda back: (first == 0) | (F.length(F.regexp_extract(back, BACK, 0)) < reaches[0])
+    further = _pattern(paged, start, reaches[1:]) if reaches[1:] else F.lit("")
+    return let(F.reverse(cut(paged, first, start)), lambda b: F.when(held(b), F.concat_ws(" ", word(b, 4), word(b, 2))).otherwise(further))
 
 
-def _pattern(text: Column, start: Column) -> Column:
-    """The two words before a place, in lower case and without marks at their ends; ``#`` for an identifier or number."""
-    ahead = F.concat(F.lit(" "), text.substr(F.greatest(start - 199, F.lit(1)).cast("int"), F.least(start, F.lit(200)).cast("int")))
-    bare = lambda g: F.regexp_replace(F.lower(F.regexp_extract(ahead, BEFORE, g)), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    word = lambda g: F.regexp_replace(bare(g), r"^.*(?:@|[0-9]{3}).*$", "#")
-    return F.concat_ws(" ", word(1), word(2))
+def _standing(text: Column, kind: str, paged: Column | None = None) -> Column:
+    """Base spans of a kind; with pages of the text also their values and patterns."""
+    found = F.filter(located(text, PATTERNS[kind]), lambda m: _stands(kind, m["value"]))
+    fields = lambda m: [F.lit(kind).alias("kind"), m["start"].cast("long").alias("start"), (m["start"] + F.length(m["value"])).cast("long").alias("stop")]
+    more = lambda m: [m["value"].alias("value"), _pattern(paged, m["start"]).alias("pattern")] if paged is not None else []
+    return F.when(text.rlike(HINTS[kind]), F.transform(found, lambda m: F.struct(*fields(m), *more(m)))).otherwise(F.array().cast(SPAN if paged is None else SEEDS))
 
 
 def _seeds(text: Column) -> Column:
     """``SEEDS`` of the base patterns, by kind as listed, then start."""
-
-    def of(kind: str) -> Column:
-        stand = F.filter(_located(text, PATTERNS[kind]), lambda m: _stands(kind, m["value"]))
-        spans = F.transform(stand, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), (m["start"] + F.length(m["value"])).alias("stop"), m["value"].alias("value"), _pattern(text, m["start"]).alias("pattern")))
-        return F.when(text.rlike(HINTS[kind]), spans).otherwise(F.array().cast(SEEDS))
-
-    return F.concat(*map(of, KINDS))
+    return let(pages(text), lambda p: F.concat(*[_standing(text, kind, p) for kind in KINDS]))
 
 
 def _spans(seeds: Column) -> Column:
@@ -120,13 +122,7 @@ def _spans(seeds: Column) -> Column:
 
 def base_spans(text: Column) -> Column:
     """``array<struct<kind, start, stop>>`` of the base patterns, by kind as listed, then start."""
-
-    def of(kind: str) -> Column:
-        stand = F.filter(_located(text, PATTERNS[kind]), lambda m: _stands(kind, m["value"]))
-        spans = F.transform(stand, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), (m["start"] + F.length(m["value"])).alias("stop")))
-        return F.when(text.rlike(HINTS[kind]), spans).otherwise(F.array().cast(SPAN))
-
-    return F.concat(*map(of, KINDS))
+    return F.concat(*[_standing(text, kind) for kind in KINDS])
 
 
 def _of_kind(spans: Column, kind: str) -> Column:
@@ -136,11 +132,27 @@ def _of_kind(spans: Column, kind: str) -> Column:
 def tokens(text: Column) -> Column:
     """Identifier-like tokens and grouped numbers with the two words before them."""
 
-    def one(m):
+    def one(p, m):
         value = F.regexp_replace(m["value"], r"[._+-]+$", "")
-        return F.struct(value.alias("value"), _pattern(text, m["start"]).alias("pattern"), m["start"].alias("start"), (m["start"] + F.length(value)).alias("stop"))
+        return F.struct(value.alias("value"), _pattern(p, m["start"]).alias("pattern"), m["start"].cast("long").alias("start"), (m["start"] + F.length(value)).cast("long").alias("stop"))
+
+    found = let(pages(text), lambda p: F.transform(located(text, INSTANCE), lambda m: one(p, m)))
+    return F.when(text.rlike("[0-9@]"), found).otherwise(F.array().cast(TOKENS))
 
-    return F.when(text.rlike("[0-9@]"), F.transform(_located(text, INSTANCE), one)).otherwise(F.array().cast(TOKENS))
+
+def _apart(tokens: Column, seeds: Column) -> Column:
+    """The tokens that meet none of the seeds: of those in order of place none before reaches it, none after starts in it."""
+    fields = ("start", "own", "stop", "value", "pattern")
+    as_rows = lambda xs, own: F.transform(xs, lambda x: F.struct(*[(F.lit(own) if f == "own" else x[f]).alias(f) for f in fields]))
+    none, far = F.lit(0).cast("long"), F.lit(1 << 62).cast("long")
+
+    def sweep(rows):
+        till = running(F.transform(rows, lambda x: F.when(x["own"] == 0, x["stop"]).otherwise(none)), none, F.greatest)
+        back = F.reverse(running(F.transform(F.reverse(rows), lambda x: F.when(x["own"] == 0, x["start"]).otherwise(far)), far, F.least))
+        return let(till, lambda ts: let(back, lambda bs: F.filter(rows, lambda x, i: (x["own"] == 1) & (F.get(ts, i) <= x["start"]) & (F.get(bs, i) >= x["stop"]))))
+
+    both = F.array_sort(F.concat(as_rows(seeds, 0), as_rows(tokens, 1)))
+    return F.when((F.size(seeds) == 0) | (F.size(tokens) == 0), as_rows(tokens, 1)).otherwise(let(both, sweep))
 
 
 def _keys(docs: DataFrame) -> list[Column]:
@@ -158,8 +170,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def discover(found: DataFrame, options: Bootstrap = Bootstrap()) -> DataFrame:
     """``k1, k2, new``: spans that trusted patterns add to rows of ``scan``."""
-    apart = F.filter("tokens", lambda t: ~F.exists("seeds", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
-    others = F.transform(apart, lambda t: F.struct(t["value"].alias("value"), t["pattern"].alias("pattern"), t["start"].alias("start"), t["stop"].alias("stop"), F.lit(None).cast("string").alias("seed")))
+    others = F.transform(_apart(F.col("tokens"), F.col("seeds")), lambda t: F.struct(t["value"].alias("value"), t["pattern"].alias("pattern"), t["start"].alias("start"), t["stop"].alias("stop"), F.lit(None).cast("string").alias("seed")))
     seeds = F.transform("seeds", lambda s: F.struct(s["value"].alias("value"), s["pattern"].alias("pattern"), s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("seed")))
     each = found.where("size(tokens) > 0 or size(seeds) > 0").select("k1", "k2", F.explode(F.concat(seeds, others)).alias("t"))
     places = each.select("k1", "k2", "t.*").where("length(pattern) > 1")
@@ -198,7 +209,9 @@ def find_pii(docs: DataFrame, options: Bootstrap = Bootstrap()) -> DataFrame:
 
     A null or empty text has no spans. Rows with null or repeated ids are kept,
     rows equal in id and text have equal spans. No rows give no rows. Columns
-    other than doc_id and text are ignored.
+    other than doc_id and text are ignored. Texts of any length are searched
+    whole, in time in proportion to length and matches. Of patterns with equal
+    scores all that reach the threshold are trusted, so ties need no order.
     """
     found = scan(docs)
     new = discover(found, options).select(F.col("k1").alias("a"), F.col("k2").alias("b"), "new")
@@ -212,7 +225,10 @@ def find_pii(docs: DataFrame, options: Bootstrap = Bootstrap()) -> DataFrame:
 def mask(docs: DataFrame, options: Bootstrap = Bootstrap()) -> DataFrame:
     """The rows of ``docs`` with all spans replaced by the mark of their kind; ``n_chars`` follows the text.
 
-    Of overlapping spans the first's mark stands for both. Null texts stay null.
+    Of overlapping spans the first's mark stands for both; of those that start
+    together the shorter, then the kind first by name. Null texts stay null, empty
+    ones empty; repeated rows are masked alike, texts of any length whole, and no
+    rows give no rows.
     Texts are joined with found spans only where a bitmap of fixed size says that
     their row may have some.
     """
@@ -221,16 +237,17 @@ def mask(docs: DataFrame, options: Bootstrap = Bootstrap()) -> DataFrame:
     asked = keyed.where("_flag").join(new, (F.col("k1") == F.col("a")) & (F.col("k2") == F.col("b")), "left").select("row", "new")
     joined = asked.union(keyed.where("not _flag").select("row", F.lit(None).cast(SPAN)))
     text = F.col("row.text")
-    spans = F.array_sort(F.transform(F.concat(base_spans(text), F.coalesce("new", F.array().cast(SPAN))), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
     marks = F.create_map(*[F.lit(x) for pair in MARKS.items() for x in pair])
+    spans = F.array_sort(F.transform(F.concat(base_spans(text), F.coalesce("new", F.array().cast(SPAN))), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
+    none = F.lit(0).cast("long")
+    till = lambda ss: running(F.transform(ss, lambda s: s["stop"]), none, F.greatest)
 
-    def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        ahead = text.substr(acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int"))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(fresh, F.concat(acc["out"], ahead, marks[s["kind"]])).otherwise(acc["out"]).alias("out"))
+    def replaced(p, ss, ts):
+        fresh = F.filter(F.transform(ss, lambda s, i: F.struct(F.get(ts, i).alias("from"), s["start"].alias("to"), marks[s["kind"]].alias("mark"))), lambda x: x["to"] >= x["from"])
+        end = F.coalesce(F.array_max(F.transform(ss, lambda s: s["stop"])), none)
+        return F.concat(F.array_join(F.transform(fresh, lambda x: F.concat(cut(p, x["from"], x["to"]), x["mark"])), ""), cut(p, end, F.length(text)))
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"].cast("int") + 1, F.length(text))))
+    masked = let(pages(text), lambda p: let(spans, lambda ss: let(till(ss), lambda ts: replaced(p, ss, ts))))
     touched = F.col("new").isNotNull()
     for hint in HINTS.values():
         touched = touched | text.rlike(hint)
