@@ -193,13 +193,6 @@ def test_randomness():
     assert secrets.p_value("section-1-of-the-long-chapter-name") < 0.01
 
 
-def test_targets():
-    got = mixing.targets([("b", 100), (None, 100), ("a", 100)])
-    assert got == {"a": 50.0, "b": 100.0, None: 150.0}
-    capped = mixing.targets([("a", 1000), ("b", 10), ("c", 0)])
-    assert capped == {"a": 980.0, "b": 30.0, "c": 0.0}
-
-
 def test_mix(spark, empty):
     rng = np.random.default_rng(2)
     rows = [(k, " ".join(["w"] * int(rng.integers(1, 60))), None, None if k % 7 == 0 else "s" + str(k % 3), 1, "x", "y") for k in range(3000)] + [(None, "a b", None, "s0", 1, "x", "y"), (5, None, None, "s9", 1, "x", "y")]
