@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,20 +16,36 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 WHITE = b" \t\n\r\x0b\x0c"
 
+_MADE: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that the driver and all executors see.
 
-    It lies under ``spark.checkpoint.dir``. Where that is unset (tests, local
-    mode) a local temporary folder becomes the session's checkpoint folder.
+    It lies under ``spark.checkpoint.dir``. Where that is unset in local mode
+    (tests), a local temporary folder becomes the session's checkpoint folder and
+    goes when Python ends; on a cluster that is an error.
     """
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="siftline-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         context.setCheckpointDir(base)
         base = context.getCheckpointDir()
-    return f"{base.rstrip('/')}/siftline-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/siftline-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def remove_tables(spark: SparkSession) -> None:
+    """Removes the intermediate tables that this session has written so far. Results that read them must have been written before."""
+    jvm = spark.sparkContext._jvm
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str = "table", codec: str = "zstd") -> DataFrame:
@@ -72,7 +90,7 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[dict]], Iterator[tuple]], s
         held, size = [], 0
         for row in rows(source()):
             held.append(row)
-            size += sum(len(v) for v in row if isinstance(v, (bytes, str, list)))
+            size += sum(map(_bytes, row))
             if len(held) >= batch_rows or size >= batch_bytes:
                 yield _batch(held, arrow)
                 held, size = [], 0
@@ -82,6 +100,15 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[dict]], Iterator[tuple]], s
     return df.mapInArrow(run, target)
 
 
+def _bytes(value) -> int:
+    """About the bytes of a value: strings count by length, lists by their elements."""
+    if isinstance(value, (bytes, str)):
+        return len(value)
+    if isinstance(value, list):
+        return sum(map(_bytes, value)) + 8 * len(value)
+    return sum(map(_bytes, value.values())) if isinstance(value, dict) else 8
+
+
 def _batch(held: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(zip(*held, strict=True), arrow, strict=True)], schema=arrow)
 

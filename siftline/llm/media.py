@@ -1,14 +1,19 @@
 """Media columns with content-defined chunking.
 
 A text's UTF-8 bytes, padded with spaces, become 8-bit samples of a WAV. A gear
-hash over the last 32 bytes cuts the WAV into chunks. Digests that occur twice
-or more are found by aggregation; their media are stored as ordered chunk lists
-over a store that Spark joins keep free of repeats. A medium none of whose
-chunks is shared stays in one piece. A bitmap of fixed size tells the writers
-which digests may be shared: where it errs, a chunk is stored under its digest
-although it is the only one, and nothing else changes. Reading joins the lists
-with the store, puts the chunks in order and verifies the SHA-256 of each
-medium before any feature is computed.
+hash over the last 32 bytes cuts the WAV into chunks. Every medium is stored as
+an ordered list of chunks. Digests that occur twice or more are found by
+aggregation; their chunks are in the list by digest only, over a store that Spark
+joins keep free of repeats. A chunk that occurs once stays beside its digest in
+the list, so the bytes that no other medium holds are never shuffled to be
+stored. A bitmap of fixed size tells the writers which digests may be shared:
+where it errs, a chunk is in the store although it is the only one, and nothing
+else changes. Reading joins the lists with the store, puts the chunks in order,
+checks each chunk against its digest and the medium against its SHA-256, and only
+then computes features.
+
+Digests are counted in a pass of their own, so media are cut twice: to write all
+chunks before their digests are counted would write the payload twice.
 """
 
 from __future__ import annotations
@@ -75,7 +80,11 @@ def chunks(media: bytes) -> list[tuple[bytes, bytes]]:
     """Digest and bytes of each chunk, in order."""
     ends = cuts(media)
     parts = [media[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-    return [(hashlib.blake2b(p, digest_size=16).digest(), p) for p in parts]
+    return [(digest(p), p) for p in parts]
+
+
+def digest(part: bytes) -> bytes:
+    return hashlib.blake2b(part, digest_size=16).digest()
 
 
 def feature(samples: bytes) -> str:
@@ -107,8 +116,8 @@ def shared_bitmap(docs: DataFrame) -> np.ndarray:
 
     def rows(source):
         for r in source:
-            for digest, _ in chunks(encode(payload(r["text"]))):
-                yield (digest,)
+            for name, _ in chunks(encode(payload(r["text"]))):
+                yield (name,)
 
     seen = map_rows(_input(docs), rows, "digest binary").groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     place = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
@@ -119,59 +128,68 @@ def shared_bitmap(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def store(docs: DataFrame, bitmap: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """Writes all media. Returns the lists and the chunk store.
+def store(docs: DataFrame, bitmap: np.ndarray, seen: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """Writes all media. Returns the chunk lists and the chunk store.
 
-    Lists: a row for each chunk of a medium with shared chunks (``ord`` from 0,
-    ``digest``), or one with ``ord`` -1 that holds the whole medium.
+    Lists: a row for each medium with its number ``medium`` and ``parts``, its
+    chunks in order: ``digest``, and ``data`` if the chunk is in no store. Store:
+    ``key, bytes``, a row for each digest.
     """
     held = docs.sparkSession.sparkContext.broadcast(bitmap)  # of fixed size
 
     def rows(source):
-        bits, mask = held.value, (1 << BITMAP_BITS) - 1
+        bits, mask, sent = held.value, (1 << BITMAP_BITS) - 1, set()
         for r in source:
             text = r["text"] or b""
             media = encode(payload(text))
-            parts = chunks(media)
-            places = [int.from_bytes(d[:4], "big") & mask for d, _ in parts]
-            meta = (r["doc_id"], len(text), len(media) - HEADER, hashlib.sha256(media).hexdigest())
-            if any(bits[p >> 3] >> (p & 7) & 1 for p in places):
-                for k, (digest, part) in enumerate(parts):
-                    yield *meta, k, digest, part
-            else:
-                yield *meta, -1, None, media
-
-    written = materialize(map_rows(_input(docs), rows, f"{META}, ord int, digest binary, data binary").withColumn("row", F.monotonically_increasing_id()), "media")
-    # Rows of a medium are neighbours, so the first one's number less its place names the medium.
-    written = written.withColumn("medium", F.col("row") - F.greatest("ord", F.lit(0)))
-    owners = written.where("ord >= 0").groupBy("digest").agg(F.min("row").alias("owner"))
-    owned = written.where("ord >= 0").select("digest", "row", "data").join(materialize(owners, "owners").select("owner"), F.col("row") == F.col("owner"), "left_semi")
-    return written, materialize(owned.select(F.col("digest").alias("key"), F.col("data").alias("bytes")), "chunks")
-
-
-def read_back(written: DataFrame, kept: DataFrame) -> DataFrame:
-    """``RESULT`` for all media: whole ones, and those put together from the store."""
-
-    def whole(source):
-        for r in source:
-            yield _row(r["data"], r["n_bytes"], r["doc_id"], r["media_sha256"].decode())
-
-    def joined(source):
+            listed = []
+            for name, part in chunks(media):
+                place = int.from_bytes(name[:4], "big") & mask
+                shared = bits[place >> 3] >> (place & 7) & 1
+                listed.append({"digest": name, "data": None if shared else part})
+                if shared and name not in sent:  # a task sends most of its repeats once
+                    yield None, None, None, None, None, name, part
+                    if len(sent) >= seen:
+                        sent.clear()
+                    sent.add(name)
+            yield r["doc_id"], len(text), len(media) - HEADER, hashlib.sha256(media).hexdigest(), listed, None, None
+
+    written = materialize(map_rows(_input(docs), rows, f"{META}, parts array<struct<digest:binary,data:binary>>, key binary, bytes binary").withColumn("medium", F.monotonically_increasing_id()), "media")
+    sent = written.where("key is not null").select("key", "bytes", "medium")
+    owners = materialize(sent.groupBy("key").agg(F.min("medium").alias("owner")), "owners").select("owner")
+    kept = sent.join(owners, F.col("medium") == F.col("owner"), "left_semi").select("key", "bytes")
+    return written.where("key is null").drop("key", "bytes"), materialize(kept, "chunks")
+
+
+def read_back(lists: DataFrame, kept: DataFrame) -> DataFrame:
+    """``RESULT`` for all media, each put together from its list."""
+
+    def rebuilt(source):
         for r in source:
-            yield _row(b"".join(p["bytes"] for p in r["parts"]), r["n_bytes"], r["doc_id"], r["media_sha256"].decode())
+            parts = r["parts"]
+            for p in parts:
+                if p["data"] is None or digest(p["data"]) != p["digest"]:
+                    raise ValueError(f"a chunk of medium {r['doc_id']} is not in the store")
+            yield _row(b"".join(p["data"] for p in parts), r["n_bytes"], r["doc_id"], r["media_sha256"].decode())
 
     meta = ["doc_id", "n_bytes", "media_sha256"]
-    lists = written.where("ord >= 0").select(*meta, "medium", "ord", "digest").join(kept, F.col("digest") == F.col("key"))
-    lists = lists.groupBy("medium", *meta).agg(F.array_sort(F.collect_list(F.struct("ord", "bytes"))).alias("parts"))
-    return map_rows(written.where("ord < 0").select(*meta, "data"), whole, RESULT).union(map_rows(lists.drop("medium"), joined, RESULT))
+    whole = ~F.exists("parts", lambda p: p["data"].isNull())
+    each = lists.where(~whole).select("medium", *meta, F.posexplode("parts").alias("ord", "p")).select("medium", *meta, "ord", "p.*")
+    # Chunks beside their digests go to their medium at once, the others by way of the store.
+    found = each.where("data is null").drop("data").join(kept, F.col("digest") == F.col("key"), "left").select("medium", *meta, "ord", "digest", F.col("bytes").alias("data"))
+    parts = F.array_sort(F.collect_list(F.struct("ord", "digest", "data"))).alias("parts")
+    joined = each.where("data is not null").select(*found.columns).union(found).groupBy("medium", *meta).agg(parts)
+    return map_rows(lists.where(whole).select(*meta, "parts"), rebuilt, RESULT).union(map_rows(joined.drop("medium"), rebuilt, RESULT))
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
     """``RESULT`` for every row of ``docs``, from stored and reconstructed media.
 
     A null or empty text is 192 spaces. Rows with null or repeated ids are media
-    of their own. No rows give no rows. Columns other than doc_id and text are
-    ignored.
+    of their own; equal texts share all their chunks, and which copy's bytes the
+    store keeps changes nothing. No rows give no rows. Texts of any length are
+    stored whole; one medium must fit into a task's memory. Columns other than
+    doc_id and text are ignored.
     """
     return read_back(*store(docs, shared_bitmap(docs)))
 
