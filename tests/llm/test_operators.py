@@ -392,32 +392,6 @@ def test_pii_contexts_of_whole_spans(spark):
         assert f"{kind}:{text.index(value)}:{text.index(value) + len(value)}" in got[i].split(","), (i, got[i])
 
 
-PUBLISHED = {
-    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language.',
-    "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
-    "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one.",
-}
-
-
-def test_licenses_as_published(spark):
-    import textwrap
-
-    rules = dict(licenses.RULES[::-1])  # of each licence the longest rule
-    rows, wanted = [], {}
-    for k, (name, text) in enumerate(PUBLISHED.items()):
-        for j, width in enumerate((10_000, 80, 60)):
-            wrapped = "\n\n".join(textwrap.fill(p, width) for p in text.split("\n\n"))
-            rows.append((10 * k + j, "Copyright (c) 2020 Some One\n\n" + wrapped + "\n\nOther words\n"))
-            wanted[10 * k + j] = (len(rules[name]), name, 1)
-    for k, (name, sequence) in enumerate(licenses.RULES):  # every rule, by its own sentences, wrapped
-        rows.append((1000 + k, "\n\n".join(textwrap.fill(licenses.SENTENCES[s] + ".", 50) for s in sequence)))
-        wanted[1000 + k] = (len(sequence), name, 1)
-    got = licenses.recognise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r["doc_id"]: (r["n_sentences"], r["licenses"], r["n_matches"]) for r in got} == wanted
-
-
 def test_main_text_beside_articles():
     body = [f"Sentence {k} of the text is long enough to count, and it says something new." for k in range(6)]
     text = "".join(f"<p>{x}</p>" for x in body)
