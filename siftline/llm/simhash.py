@@ -10,21 +10,26 @@ by more bits, which bounds it by the few bits left open.
 
 64 bits cannot tell texts whose 5-word shingles have a similarity of 0.8 from
 less similar ones. ``keep_one`` therefore takes 256 bits. Its tiles hold the
-fingerprints that agree on one of twenty blocks of 12 bits. Two texts of
-similarity 0.8 differ in 15% of bits, so they share a tile with a probability of
-95%, and of over 99.9% from 0.9 on. A tile with over ``slice_rows`` rows is cut into
-slices, and each pair of slices is compared.
+fingerprints that agree on one of the blocks of bits they are cut into: twenty
+blocks of 12 bits for up to two million texts, where two texts of similarity 0.8,
+which differ in 15% of bits, share a tile with a probability of 95%, and of over
+99.9% from 0.9 on. A block has more bits where there are more texts, so tiles do
+not grow with the input and comparisons stay in proportion to it. A tile with over
+``slice_rows`` rows is cut into slices, and each pair of slices is compared.
 
 Such links are only candidates. Texts that agree on one of ``BANDS`` bands of
 ``BAND`` least shingle hashes are candidates too, whatever their fingerprints.
 Of pairs with similarity 0.8 the bands miss 0.007%, the tiles and the radius
 about 20%. The distinct texts of each component of
 candidates meet with their sets of shingles, and only links of exact similarity
-``SIMILARITY`` or more make the components by which texts go.
+``SIMILARITY`` or more make the components by which texts go. A component with
+over ``SLICE`` shingles is cut into slices, and each pair of slices meets in a task
+of its own, so a task's memory does not grow with a component.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from itertools import combinations
 
@@ -39,7 +44,8 @@ from .components import connected_components
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: For near copies. Similarity 0.8 is expected at 39 of 256 differing bits, 0.7 at 49, 0.6 at 59.
 WIDE_SHINGLE, WIDE_RADIUS, WIDE = 5, 44, ("f0", "f1", "f2", "f3")
-BLOCK = 12
+#: Shingles that a slice of a component of candidates holds when it is verified.
+SLICE = 1 << 21
 #: Least Jaccard similarity of the shingle sets of near copies.
 SIMILARITY = 0.8
 #: Two texts of similarity s share none of the bands with a probability of (1 - s ** BAND) ** BANDS.
@@ -247,16 +253,22 @@ def _node() -> Column:
     return F.xxhash64(*WIDE)
 
 
-def wide_links(fps: DataFrame, radius: int = WIDE_RADIUS, slice_rows: int = 16_384, small: int = 256) -> DataFrame:
-    """Links ``a, b`` between hashes of the distinct wide fingerprints ``fps`` that share a tile and lie within ``radius`` bits."""
-    per = 64 // BLOCK
-    blocks = [F.struct(F.lit(w * per + k).alias("block"), F.shiftrightunsigned(f, BLOCK * k).bitwiseAND(F.lit((1 << BLOCK) - 1)).alias("bits")) for w, f in enumerate(WIDE) for k in range(per)]
-    rows = fps.select(*WIDE, F.explode(F.array(*blocks)).alias("t")).select(*WIDE, (F.col("t.block") * (1 << BLOCK) + F.col("t.bits")).alias("place"))
-    slices = F.ceil(F.col("n") / slice_rows)
-    # Bounded by the number of tiles, 20 * 4096 whatever the input.
-    sizes = materialize(rows.groupBy("place").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("place", slices.alias("s")).coalesce(8), "sizes")
-    own = F.pmod(F.xxhash64(*WIDE, F.lit(1)), F.col("s"))
-    dealt = rows.join(F.broadcast(sizes), "place").select("place", *WIDE, own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)).alias("other"))
+def block_bits(n: int) -> int:
+    """Bits of a block for ``n`` fingerprints: 12, or so many that a tile is expected to hold at most 512."""
+    return min(32, max(12, math.ceil(math.log2(max(n, 1) / 512))))
+
+
+def wide_links(fps: DataFrame, radius: int = WIDE_RADIUS, slice_rows: int = 16_384, small: int = 256, bits: int = 12) -> DataFrame:
+    """Links ``a, b`` between hashes of the distinct wide fingerprints ``fps`` that share a tile of ``bits`` equal bits and lie within ``radius`` bits."""
+    per = 64 // bits
+    blocks = [F.struct(F.lit(w * per + k).cast("long").alias("block"), F.shiftrightunsigned(f, bits * k).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).alias("bits")) for w, f in enumerate(WIDE) for k in range(per)]
+    rows = fps.select(*WIDE, F.explode(F.array(*blocks)).alias("t")).select(*WIDE, (F.col("t.block") * (1 << bits) + F.col("t.bits")).alias("place"))
+    # Tiles of one slice, by far the most, need no table of sizes.
+    heavy = rows.groupBy("place").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > slice_rows).select(F.col("place").alias("heavy"), F.ceil(F.col("n") / slice_rows).alias("s"))
+    heavy = materialize(heavy, "heavy")
+    cut = F.coalesce("s", F.lit(1).cast("long"))
+    own = F.pmod(F.xxhash64(*WIDE, F.lit(1)), cut)
+    dealt = rows.join(heavy, F.col("place") == F.col("heavy"), "left").withColumn("s", cut).select("place", *WIDE, own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)).alias("other"))
     tiles = dealt.select(F.xxhash64("place", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), *WIDE)
 
     def find(tile: np.ndarray, fp: np.ndarray):
@@ -294,7 +306,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     ``component_id`` is the least ``doc_id`` reachable by links. Rows with a
     null ``doc_id`` take part and get the component's least id, null if it has
     none. Repeated rows are repeated in the result. A text that is null, empty
-    or only white space has fingerprint zero. No rows give no rows. Other
+    or only white space has fingerprint zero; a bit set in exactly half the
+    shingles is 0. Texts of any length count whole. No rows give no rows. Other
     columns of ``docs`` are ignored.
     """
     each = materialize(fingerprints(docs, shingle, seed), "fingerprints")
@@ -341,21 +354,28 @@ def _candidates(texts: DataFrame, radius: int) -> DataFrame:
     shared = materialize(rows.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("bucket", "least"), "shared")
     stars = rows.join(shared, "bucket").select(F.col("node").alias("a"), F.col("least").alias("b")).where("a <> b")
     first = materialize(texts.groupBy(_node().alias("fp")).agg(F.min("node").alias("least")), "first")
-    found = materialize(wide_links(texts.select(*WIDE).distinct(), radius).distinct(), "links")
+    bits = block_bits(texts.count())
+    found = materialize(wide_links(texts.select(*WIDE).distinct(), radius, bits=bits).distinct(), "links")
     ends = [first.select(F.col("fp").alias(x), F.col("least").alias(f"{x}_least")) for x in "ab"]
     return stars.union(found.join(ends[0], "a").join(ends[1], "b").select("a_least", "b_least"))
 
 
-def _verified(docs: DataFrame, each: DataFrame, loose: DataFrame, shingle: int, seed: int, similarity: float) -> DataFrame:
+def _verified(docs: DataFrame, each: DataFrame, loose: DataFrame, shingle: int, seed: int, similarity: float, most: int) -> DataFrame:
     """``node, top`` of every text of the components ``loose``: one top for those joined by links of exact similarity."""
-    reps = materialize(each.groupBy("node").agg(F.min("key").alias("rep")).join(loose, "node"), "reps")
+    reps = materialize(each.groupBy("node").agg(F.min("key").alias("rep"), F.max("size").alias("size")).join(loose, "node"), "reps")
     asked = flagged(docs.select("text", _key().alias("key")), F.col("key"), reps, "rep").where("_flag").select("text", "key")
 
     def rows(source):
         for r in source:
             yield r["key"], shingle_set(r["text"], shingle, seed).tobytes()
 
-    sets = map_rows(asked, rows, "key long, shingles binary").join(reps, F.col("key") == F.col("rep")).select(F.col("root").alias("part"), "node", "shingles")
+    heavy = reps.groupBy(F.col("root").alias("r")).agg(F.sum("size").alias("total")).where(F.col("total") > most).select("r", F.ceil(F.col("total") / most).alias("s"))
+    heavy = materialize(heavy, "heavy")
+    cut = F.coalesce("s", F.lit(1).cast("long"))
+    placed = reps.join(heavy, F.col("root") == F.col("r"), "left").select("node", "rep", "root", cut.alias("s")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("s")))
+    sets = map_rows(asked, rows, "key long, shingles binary").join(placed, F.col("key") == F.col("rep"))
+    sets = sets.select("node", "shingles", "root", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1)).alias("other"))
+    sets = sets.select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("part"), "node", "shingles")
 
     def run(batches):
         def out(held):
@@ -375,26 +395,37 @@ def _verified(docs: DataFrame, each: DataFrame, loose: DataFrame, shingle: int,
         if held:
             yield out(held)
 
-    return materialize(sets.repartition("part").sortWithinPartitions("part").mapInArrow(run, "node long, top long"), "verified")
+    found = materialize(sets.repartition("part").sortWithinPartitions("part").mapInArrow(run, "node long, top long"), "verified")
+    if heavy.isEmpty():
+        return found
+    joined = connected_components(found.where("node <> top"), "node", "top")
+    alone = found.select("node").distinct().join(joined.select("node"), "node", "left_anti")
+    return materialize(joined.select("node", F.col("root").alias("top")).union(alone.select("node", F.col("node").alias("top"))), "joined")
 
 
-def near_classes(docs: DataFrame, shingle: int = WIDE_SHINGLE, radius: int = WIDE_RADIUS, seed: int = SEED, similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id, key, root`` of every row of ``docs``: rows with one root are near copies, ``key`` is a hash of id and text."""
+def near_classes(docs: DataFrame, shingle: int = WIDE_SHINGLE, radius: int = WIDE_RADIUS, seed: int = SEED, similarity: float = SIMILARITY, most: int = SLICE) -> DataFrame:
+    """``doc_id, key, root`` of every row of ``docs``: rows with one root are near copies, ``key`` is a hash of id and text.
+
+    A null, empty or white text has no shingle and is like others of its kind; a
+    text of fewer words is one shingle. Rows with null or repeated ids take part,
+    no rows give no rows, texts of any length count whole, other columns are
+    ignored.
+    """
 
     def rows(source):
         from xxhash import xxh64_intdigest as h
 
         for r in source:
-            node = h(b" ".join((r["text"] or b"").lower().split()), seed)
-            yield r["doc_id"], r["key"], node - (1 << 64) if node >> 63 else node, *wide_fingerprint(r["text"], shingle, seed).view(np.int64).tolist(), bands(shingle_set(r["text"], shingle, seed)).view(np.int64).tolist()
+            node, own = h(b" ".join((r["text"] or b"").lower().split()), seed), shingle_set(r["text"], shingle, seed)
+            yield r["doc_id"], r["key"], node - (1 << 64) if node >> 63 else node, *wide_fingerprint(r["text"], shingle, seed).view(np.int64).tolist(), len(own), bands(own).view(np.int64).tolist()
 
     asked = docs.select(F.col("doc_id").cast("long"), "text", _key().alias("key"))
-    each = materialize(map_rows(asked, rows, "doc_id long, key long, node long, f0 long, f1 long, f2 long, f3 long, bands array<long>"), "fingerprints")
+    each = materialize(map_rows(asked, rows, "doc_id long, key long, node long, f0 long, f1 long, f2 long, f3 long, size long, bands array<long>"), "fingerprints")
     # All rows of a node have equal fingerprints and bands, so the row of the least key stands for them.
     reps = each.groupBy("node").agg(F.min("key").alias("key"))
     texts = materialize(each.join(reps, ["node", "key"], "left_semi").dropDuplicates(["node"]).select("node", *WIDE, F.concat("bands", F.array(_node())).alias("buckets")), "texts")
     loose = connected_components(_candidates(texts, radius))
-    found = _verified(docs, each, loose, shingle, seed, similarity)
+    found = _verified(docs, each, loose, shingle, seed, similarity, most)
     return each.select("doc_id", "key", "node").join(found, "node", "left").select("doc_id", "key", F.coalesce("top", "node").alias("root"))
 
 
@@ -403,7 +434,8 @@ def keep_one(docs: DataFrame, shingle: int = WIDE_SHINGLE, radius: int = WIDE_RA
 
     Of rows equal in id and text one stays. Rows that only share an id are
     judged each by its own text. Null, empty and white texts are copies of each
-    other. Texts are moved only where a bitmap of fixed size says that their row
+    other. No rows give no rows, texts of any length are compared whole, other
+    columns stay as they are. Texts are moved only where a bitmap of fixed size says that their row
     may have to go.
     """
     found = materialize(near_classes(docs, shingle, radius, seed, similarity), "classes")
