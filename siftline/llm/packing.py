@@ -163,12 +163,14 @@ def pack(docs: DataFrame, capacity: Capacity = Capacity(), end_id: int = 0, fold
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset``, a row for each piece.
 
     A null or empty text is one piece that holds the end id. Null and repeated
-    ids are kept, each row packed on its own. No rows give no rows. Columns
-    other than doc_id and text are ignored.
+    ids are kept, each row packed on its own; repeated rows take different places.
+    Pieces of one length are interchangeable, and bins with equal scores are taken
+    in order of their making. Texts of any length are encoded whole and cut. No rows
+    give no rows. Columns other than doc_id and text are ignored.
     """
     found = materialize(pieces(docs, capacity.tokens, end_id, folder).withColumn("row", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["count"] for r in found.groupBy("length").count().collect()}  # at most as many as a bin has tokens
-    parts = max(64, sum(counts.values()) // 200_000)
+    parts = max(8, sum(counts.values()) // 200_000)
     dealt = found.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)))
     sizes = dealt.groupBy(F.col("length").alias("l"), F.col("part").alias("p")).agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("l").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,8 +7,9 @@ a cutoff is certified if the exact (Clopper-Pearson) upper bound of its false
 rejection rate is at most ``alpha`` divided by the number of rules. Testing
 stops at the first that fails (a fixed sequence needs no correction among its
 cutoffs), and ``delta`` is divided by the number of sequences (Bonferroni), so
-with probability ``1 - delta`` no stratum loses more than ``alpha`` of its good
-documents. Of the certified cutoffs, the one that takes most bad documents
+with probability ``1 - delta`` no stratum loses by the cutoffs more than ``alpha`` of
+those good documents that pass the base rules. Documents that the base rules
+reject are no part of the holdout, and the bound says nothing of them. Of the certified cutoffs, the one that takes most bad documents
 over good ones is used; where none takes more bad than good ones, the rule
 rejects nothing there.
 """
@@ -37,7 +38,7 @@ STEPS = 200
 
 @dataclass(frozen=True)
 class Risk:
-    """``alpha``: most good documents that a stratum may lose; ``delta``: chance that any loses more."""
+    """``alpha``: most good documents past the base rules that a stratum may lose by cutoffs; ``delta``: chance that any loses more."""
 
     alpha: float = 0.08
     delta: float = 0.05
@@ -183,8 +184,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> Da
 
     A null or empty text has no words and fails the base rules. Rows with a
     null or repeated ``doc_id`` are judged each on its own. Without labels no
-    cutoff is certified and the base rules alone decide. No rows give no rows.
-    Columns of ``docs`` other than doc_id, text and lang are ignored.
+    cutoff is certified and the base rules alone decide. Repeated rows are judged
+    alike, of cutoffs that take equally many the most lenient is used, texts of any
+    length count whole. No rows give no rows. Columns of ``docs`` other than doc_id, text and lang are ignored.
     """
     found = materialize(features(docs), "features")
     cutoffs = learn_cutoffs(found, labels, risk)
@@ -193,7 +195,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> Da
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that ``quality_rules`` keeps. Nothing is shuffled but counts."""
+    """The rows of ``docs``, with all their columns, that ``quality_rules`` keeps. Nothing is shuffled but counts.
+
+    Null and empty texts, null and repeated ids, ties, very long texts and missing
+    labels are judged as there; no rows give no rows. Words are counted twice, to
+    learn and to apply: to join counts with rows would shuffle whole texts.
+    """
     cutoffs = learn_cutoffs(materialize(features(docs), "features"), labels, risk)
 
     def step(rule: str, c: dict) -> int:

@@ -93,7 +93,9 @@ def token_counts(docs: DataFrame, block: int = BLOCK, folder: str | None = None)
     """``doc_id, n_tokens`` of every row of ``docs``, counted by scanning its token files.
 
     A null or empty text has 0 tokens; null and repeated ids are kept; no rows
-    give no rows. Columns other than doc_id and text are ignored.
+    give no rows. Repeated rows are documents of their own, texts of any length are
+    written whole over as many blocks as they take, and there are no ties to
+    break. Columns other than doc_id and text are ignored.
     """
     blocks, order = write_tokens(docs, block, folder=folder)
     found = materialize(scan(blocks), "documents").select(F.col("file").alias("f"), F.col("ordinal").alias("o"), "n_tokens")

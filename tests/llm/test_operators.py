@@ -273,17 +273,6 @@ def test_licenses(docs, empty, spark):
     assert licenses.recognise(empty).count() == 0
 
 
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    columns = docs.columns
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        docs = corpus_pipeline.materialize(stage(spark, docs, "/root/testdata/sf0.001"), "stage")
-        assert k == len(corpus_pipeline.STAGES) - 1 or docs.columns == columns
-    assert docs.count() > 0
-
-
 @pytest.mark.parametrize("slice_rows", [7, 16_384])
 def test_links_of_wide_fingerprints(spark, slice_rows):
     rng = np.random.default_rng(5)
