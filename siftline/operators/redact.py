@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import mask_partial, strip
+from ..functions.text import cut, let, mask_partial, pages, strip
 from . import spans
 from .patterns import FULL_REDACTION
 
@@ -35,21 +35,32 @@ def replacement(f: Column) -> Column:
 
 
 def redact_spans(text: Column, findings: Column) -> Column:
-    """Replaces each span, the last one first."""
-    ordered = spans.indexed(findings, lambda f: -f["start"])
+    """Replaces each span, the last one first; where spans overlap, a replacement may be cut by the next."""
 
-    def step(t, f):
-        return F.concat(t.substr(F.lit(1), f["start"]), replacement(f), t.substr(f["end"] + 1, F.length(t)))
+    def apart(fs: Column, ps: Column) -> Column:
+        parts = F.transform(fs, lambda f, i: F.concat(cut(ps, F.coalesce(F.get(fs, i - 1)["end"], F.lit(0)), f["start"]), replacement(f)))
+        return F.concat(F.array_join(parts, ""), cut(ps, F.element_at(fs, -1)["end"], F.greatest(F.length(text), F.element_at(fs, -1)["end"])))
 
-    return F.aggregate(ordered, text, step)
+    def piled(fs: Column) -> Column:
+        last_first = spans.in_order(fs, lambda f: -f["start"])
+        return F.aggregate(last_first, text, lambda t, f: F.concat(t.substr(F.lit(1), f["start"]), replacement(f), t.substr(f["end"] + 1, F.length(t))))
+
+    meets = lambda fs: F.exists(F.transform(fs, lambda f, i: F.coalesce(F.get(fs, i - 1)["end"] > f["start"], F.lit(False)) | (f["end"] > F.length(text))), lambda x: x)
+    ordered = let(findings, lambda raw: let(spans.in_order(raw, lambda f: f["start"]), lambda fs: F.when(F.size(fs) == 0, text).when(meets(fs), piled(raw)).otherwise(let(pages(text), lambda ps: apart(fs, ps)))))
+    return F.when(findings.isNull(), F.lit(None)).otherwise(ordered)
 
 
 def replacements(findings: Column) -> Column:
     """``array<struct<value, by>>``: distinct values without white space at their ends, the longest first."""
-    rows = F.transform(spans.indexed(findings, lambda f: -F.length(F.coalesce(f["value"], F.lit("")))), lambda f: F.struct(strip(f["value"]).alias("value"), is_full(f).alias("full")))
-    rows = F.filter(rows, lambda r: F.length(r["value"]) > 0)
-    first = spans.let(rows, lambda rs: F.filter(rs, lambda r, i: ~F.exists(F.slice(rs, 1, i), lambda s: s["value"] == r["value"])))
-    return F.transform(first, lambda r: F.struct(r["value"].alias("value"), F.when(r["full"], FULL_MARK).otherwise(mask_partial(r["value"])).alias("by")))
+    rows = F.transform(spans.in_order(findings, lambda f: -F.length(F.coalesce(f["value"], F.lit("")))), lambda f: F.struct(strip(f["value"]).alias("value"), is_full(f).alias("full")))
+
+    def first(rs: Column) -> Column:
+        places = F.array_sort(F.transform(rs, lambda r, i: F.struct(r["value"].alias("value"), i.alias("i"))))
+        new = let(places, lambda ps: F.filter(ps, lambda p, i: (i == 0) | (p["value"] != F.get(ps, i - 1)["value"])))
+        return F.transform(F.array_sort(F.transform(new, lambda p: p["i"])), lambda i: F.get(rs, i))
+
+    kept = let(F.filter(rows, lambda r: F.length(r["value"]) > 0), first)
+    return F.transform(kept, lambda r: F.struct(r["value"].alias("value"), F.when(r["full"], FULL_MARK).otherwise(mask_partial(r["value"])).alias("by")))
 
 
 def redact_values(text: Column, pairs: Column) -> Column:

@@ -14,17 +14,14 @@ from ..operators import analytics, catalog, redact, risk, spans
 from ..operators.detect import all_findings, confidence_breakdown, exploded, normalised, pattern_findings, recognizer_findings, scan
 from ..operators.patterns import PATTERNS
 from ..sources.files import sql_facts, text_facts, validity
+from ..sources.tables import read_table
 
 EPOCH = "2024-01-01 00:00:00"
 AS_OF = "2024-01-08 00:00:00"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return read_table(spark, sf_dir, "documents")
 
 
 def found(spark: SparkSession, sf_dir: str, mode: str = "quick") -> DataFrame:
@@ -51,7 +48,7 @@ def quick_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files as a scan leaves them."""
-    f = found(spark, sf_dir).withColumn("a", spans.once(risk.assess(F.col("findings"))))
+    f = spans.derive(found(spark, sf_dir), a=risk.assess(F.col("findings")))
     return f.select(
         F.col("doc_id").alias("id"), F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".txt")).alias("filename"), F.concat(F.lit("/in/doc_"), F.col("doc_id"), F.lit(".txt")).alias("file_path"), F.col("n_chars").alias("file_size"), F.col("source").alias("file_format"),
         at(F.col("doc_id") * 3600).alias("upload_date"), T.content_hash(F.coalesce("text", F.lit(""))).alias("file_hash"), F.col("a.risk_score").alias("risk_score"), F.col("a.risk_level").alias("risk_level"), F.col("a.total_findings").alias("total_findings_count"),
@@ -72,23 +69,23 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def risk_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: scanned documents, their findings and mean score by risk level."""
-    f = found(spark, sf_dir).select(spans.once(risk.assess(F.col("findings"))).alias("a")).select("a.*")
+    f = spans.derive(found(spark, sf_dir), a=risk.assess(F.col("findings"))).select("a.*")
     return f.groupBy("risk_level").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("total_findings").alias("n_findings"), F.round(F.avg("risk_score"), 6).alias("mean_score"))
 
 
 def mask_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("value")
-    values = table(spark, sf_dir, "customer").select(F.col("c_name").alias("value")).union(table(spark, sf_dir, "part").select(F.element_at(F.split("p_name", " "), 1))).union(table(spark, sf_dir, "supplier").select(F.concat(F.left(F.reverse("s_name"), F.col("s_suppkey") % 4 + 1), F.lit("@example.com")))).union(table(spark, sf_dir, "nation").select(F.left("n_name", F.col("n_nationkey") % 7))).distinct()
+    values = read_table(spark, sf_dir, "customer").select(F.col("c_name").alias("value")).union(read_table(spark, sf_dir, "part").select(F.element_at(F.split("p_name", " "), 1))).union(read_table(spark, sf_dir, "supplier").select(F.concat(F.left(F.reverse("s_name"), F.col("s_suppkey") % 4 + 1), F.lit("@example.com")))).union(read_table(spark, sf_dir, "nation").select(F.left("n_name", F.col("n_nationkey") % 7))).distinct()
     return values.select("value", T.mask_value(v).alias("regex_mask"), T.mask_edges(v, 3).alias("edge_mask"), T.mask_edges(v, 2).alias("short_mask"), T.mask_tracked(v).alias("tracked_mask"), T.mask_partial(v).alias("partial_mask"))
 
 
 def entity_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
+    c = read_table(spark, sf_dir, "customer")
     return c.select("c_custkey", T.entity_hash(F.col("c_mktsegment"), F.concat(F.lit(" \t"), F.col("c_name"), F.lit("\n "))).alias("entity_hash"))
 
 
 def luhn_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("4"), F.lpad((F.col("o_orderkey") * 7919).cast("string"), 15, "0")).alias("number"))
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("4"), F.lpad((F.col("o_orderkey") * 7919).cast("string"), 15, "0")).alias("number"))
     return o.select("o_orderkey", T.luhn(F.col("number")).alias("passes"), T.luhn(F.concat(F.left("number", F.lit(4)), F.lit(" "), F.substring("number", 5, 9))).alias("short_passes"))
 
 
@@ -119,12 +116,12 @@ def risk_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = found(spark, sf_dir).select("doc_id", spans.once(risk.assess(F.col("findings"))).alias("a"))
+    f = spans.derive(found(spark, sf_dir), a=risk.assess(F.col("findings")))
     return f.select("doc_id", "a.risk_score", "a.risk_level", "a.total_findings", "a.high_risk_count", "a.medium_risk_count", "a.low_risk_count", F.array_join("a.category_at_risk", ",").alias("category_at_risk"), "a.recommendation", "a.safe_to_share")
 
 
 def compliance_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = found(spark, sf_dir).select("doc_id", spans.once(risk.compliance(F.col("findings"))).alias("c"))
+    f = spans.derive(found(spark, sf_dir), c=risk.compliance(F.col("findings")))
     return f.select("doc_id", *[F.col(f"c.{k}.status").alias(k.lower()) for k in ("GDPR", "HIPAA", "DPA")], F.array_join("c.GDPR.types", ",").alias("gdpr_types"))
 
 
@@ -182,7 +179,7 @@ def page_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "ts", "user_id", "event_type", "value")
+    e = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "ts", "user_id", "event_type", "value")
     return analytics.latest_by(e, "user_id", "ts").select("user_id", "id", "event_type", "value")
 
 
@@ -209,7 +206,7 @@ def replacement_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def post_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = found(spark, sf_dir).withColumn("t", redact.redact_spans(normalised(F.col("text")), F.col("findings"))).select("doc_id", F.col("t").alias("text"))
-    return scan(f).select("doc_id", spans.once(risk.assess(F.col("findings"))).alias("a")).select("doc_id", F.col("a.risk_score").alias("post_score"), F.col("a.risk_level").alias("post_level"), F.col("a.total_findings").alias("post_findings"))
+    return spans.derive(scan(f), a=risk.assess(F.col("findings"))).select("doc_id", F.col("a.risk_score").alias("post_score"), F.col("a.risk_level").alias("post_level"), F.col("a.total_findings").alias("post_findings"))
 
 
 def findings_by_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,12 +238,12 @@ def txt_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql_text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", sql_facts(F.concat(F.lit("SELECT 1; create table t; ;"), F.coalesce("text", F.lit("")), F.lit("; -- created\n"))).alias("f"))
+    c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", sql_facts(F.concat(F.lit("SELECT 1; create table t; ;"), F.coalesce("text", F.lit("")), F.lit("; -- created\n"))).alias("f"))
     return c.select("conv_id", "turn", F.col("f.queries").alias("queries"), *[F.coalesce(F.try_element_at("f.keywords", F.lit(k)), F.lit(0)).alias(k.lower()) for k in ("SELECT", "CREATE", "DROP")])
 
 
 def file_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select("p_partkey", F.element_at(F.array(F.lit(".txt"), F.lit(".exe"), F.lit(".sql"), F.lit(".pdf")), (F.col("p_partkey") % 4 + 1).cast("int")).alias("format"), (F.col("p_size") * 2_000_000).cast("long").alias("size"))
+    p = read_table(spark, sf_dir, "part").select("p_partkey", F.element_at(F.array(F.lit(".txt"), F.lit(".exe"), F.lit(".sql"), F.lit(".pdf")), (F.col("p_partkey") % 4 + 1).cast("int")).alias("format"), (F.col("p_size") * 2_000_000).cast("long").alias("size"))
     return p.select("p_partkey", validity(F.col("format"), F.col("size")).alias("v")).select("p_partkey", "v.ok", "v.reason")
 
 
@@ -257,7 +254,7 @@ def upsert_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "error", "ERROR").when(F.col("value") > 50, "ERROR").otherwise("INFO").alias("log_level"), F.col("ts").alias("log_timestamp"))
+    e = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "error", "ERROR").when(F.col("value") > 50, "ERROR").otherwise("INFO").alias("log_level"), F.col("ts").alias("log_timestamp"))
     return analytics.logs(e, "ERROR", limit=50).select("id", "log_level")
 
 

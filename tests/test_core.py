@@ -94,7 +94,7 @@ def test_span_folds_equal_python(spark):
         for k in order:
             if not any(fs[k][5] < fs[j][6] and fs[j][5] < fs[k][6] for j in kept):
                 kept.append(k)
-        assert [tuple(x) for x in r["g"]] == [fs[k] for k in kept]
+        assert [tuple(x) for x in r["g"]] == [fs[k] for k in sorted(kept)]
         assert [[tuple(x) for x in c] for c in r["c"]] == [[fs[k] for k in c] for c in python_clusters(fs)]
         assert [tuple(x) for x in r["s"]] == [f for i, f in enumerate(fs) if not any(g[0] != f[0] and g[5] <= f[5] and g[6] >= f[6] and g[10] >= f[10] for j, g in enumerate(fs) if i != j)]
 
