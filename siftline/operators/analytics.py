@@ -15,8 +15,7 @@ def newest(df: DataFrame, time: str, id: str = "id", limit: int | None = None, o
 
 def latest_by(df: DataFrame, key: str, time: str, id: str = "id") -> DataFrame:
     """The latest row of each key, by partial aggregation rather than a window over the key."""
-    row = F.struct(*df.columns)
-    return df.groupBy(F.col(key).alias("_key")).agg(F.max_by(row, F.struct(time, id)).alias("r")).select("r.*")
+    return df.groupBy(F.col(key).alias("key of the rows")).agg(F.max_by(F.struct(*df.columns), F.struct(time, id)).alias("row")).select("row.*")
 
 
 def recent_files(files: DataFrame, as_of: Column, days: int = 7, limit: int | None = 50) -> DataFrame:
@@ -123,31 +122,110 @@ def clear_old_logs(rows: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
     return rows.where(F.col("log_timestamp") >= as_of - F.make_interval(days=F.lit(days)))
 
 
-def export_report(files: DataFrame, detections: DataFrame, redactions: DataFrame, ocr: DataFrame, limit: int | None = 1000) -> DataFrame:
-    """Newest files with nested detections and redactions and the latest recognised text, one job instead of a query a file."""
-    newest_files = newest(files, "upload_date", limit=limit)
-    d = detections.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("id", "pattern_matched", "data_found", "risk_level", "location_info"))).alias("detections"))
-    r = redactions.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("id", "redaction_type", "strategy", "findings_redacted"))).alias("redactions"))
-    o = latest_by(ocr, "file_id", "ocr_timestamp").select("file_id", F.struct("confidence", "word_count", "ocr_language").alias("ocr_summary"))
-    out = newest_files
-    for child in (d, r, o):
-        out = out.join(child.withColumnRenamed("file_id", "_f"), F.col("id") == F.col("_f"), "left").drop("_f")
+def nested(files: DataFrame, children: dict[str, DataFrame]) -> DataFrame:
+    """Files with a column for each of ``children`` (file_id and one column): left joins on the id."""
+    out = files
+    for name, child in children.items():
+        one = child.select(F.col("file_id").alias(f"file of {name}"), F.col(name))
+        out = out.join(one, F.col("id") == F.col(f"file of {name}"), "left").drop(f"file of {name}")
     return out
 
 
-def session(files: DataFrame, detections: DataFrame, ocr: DataFrame, limit: int = 200) -> DataFrame:
-    """Latest files as a session restores them: findings in order and the latest recognised text."""
+def export_report(files: DataFrame, detections: DataFrame, redactions: DataFrame, ocr: DataFrame, limit: int | None = 1000) -> DataFrame:
+    """Newest files with nested detections and redactions and the latest recognised text, one job instead of a query a file.
+
+    Children of other files are dropped before they are aggregated.
+    """
+    chosen = newest(files, "upload_date", limit=limit)
+    own = lambda rows: rows.join(chosen.select(F.col("id").alias("file_id")), "file_id", "left_semi")
+    d = own(detections).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("id", "pattern_matched", "data_found", "risk_level", "location_info"))).alias("detections"))
+    r = own(redactions).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("id", "redaction_type", "strategy", "findings_redacted"))).alias("redactions"))
+    o = latest_by(own(ocr), "file_id", "ocr_timestamp").select("file_id", F.struct("confidence", "word_count", "ocr_language").alias("ocr_summary"))
+    return nested(chosen, {"detections": d, "redactions": r, "ocr_summary": o})
+
+
+def session(files: DataFrame, detections: DataFrame, ocr: DataFrame, limit: int = 200, present: DataFrame | None = None) -> DataFrame:
+    """Latest files as a session restores them: findings in order of place, risk, compliance, and the latest recognised text.
+
+    ``present`` (path, text) lists the files that are still there: others are
+    left out, and its text stands in where none was recognised.
+    """
     from .catalog import detection_to_finding
+    from .risk import assess, compliance
+
+    chosen = newest(files, "upload_date", limit=limit)
+    if present is not None:
+        there = present.select(F.col("path").alias("path there"), F.col("text").alias("text there"))
+        chosen = chosen.join(there, F.col("file_path") == F.col("path there")).drop("path there")
+    ids = chosen.select(F.col("id").alias("file_id"))
+    found = detection_to_finding(detections.join(ids, "file_id", "left_semi"))
+    found = found.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "type", "value", "masked_value", "severity", "line", "confidence"))).alias("findings"))
+    text = latest_by(ocr.join(ids, "file_id", "left_semi"), "file_id", "ocr_timestamp").select("file_id", "extracted_text")
+    out = nested(chosen, {"findings": found, "extracted_text": text})
+    none = F.array().cast(dict(out.dtypes)["findings"])
+    out = out.withColumn("findings", F.coalesce("findings", none))
+    if present is not None:
+        out = out.withColumn("extracted_text", F.coalesce("extracted_text", "text there")).drop("text there")
+    return out.withColumns({"risk": assess(F.col("findings")), "compliance": compliance(F.col("findings"))})
+
+
+def numbered(df: DataFrame, order: list[str], id: str = "id", start: int = 1) -> DataFrame:
+    """Ids from ``start`` in the order given, without sorting the table in one task: ranks by range partition, then offsets."""
+    row = F.struct(*df.columns).alias("row")
+    ordered = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).select(row, F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("k"))
+    sizes = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each partition
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return ordered.join(before, "part").select("row.*", (F.col("before") + F.col("k") + start).alias(id))
+
+
+def files_report(files: DataFrame, detections: DataFrame, limit: int | None = 500) -> DataFrame:
+    """Newest files with their number of detections by level: one join instead of a query a file."""
+    chosen = newest(files, "upload_date", limit=limit)
+    own = detections.join(chosen.select(F.col("id").alias("file_id")), "file_id", "left_semi")
+    by = own.groupBy("file_id").agg(F.struct(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("risk_level") == x).alias(x) for x in ("high", "medium", "low")]).alias("counts"))
+    out = nested(chosen, {"counts": by})
+    return out.select(*files.columns, *[F.coalesce(F.col("counts")[x], F.lit(0)).alias(y) for x, y in (("n", "findings"), ("high", "high"), ("medium", "medium"), ("low", "low"))])
+
+
+def redactions_for_file(redactions: DataFrame, file_id: int) -> DataFrame:
+    return newest(redactions.where(F.col("file_id") == file_id), "redaction_timestamp")
+
+
+def detections_for_file(detections: DataFrame, file_id: int) -> DataFrame:
+    return newest(detections.where(F.col("file_id") == file_id), "detection_timestamp")
+
+
+def ocr_results(ocr: DataFrame, files: DataFrame, limit: int | None = 100) -> DataFrame:
+    """Newest recognised texts with their files' names."""
+    return newest(ocr.join(files.select(F.col("id").alias("file_id"), "filename"), "file_id"), "ocr_timestamp", limit=limit)
+
+
+def redacted_documents(files: DataFrame) -> DataFrame:
+    return files.agg(F.count_if(F.coalesce("redacted_version_path", F.lit("")) != "").alias("redacted_documents"))
+
+
+def tracking_totals(detections: DataFrame) -> DataFrame:
+    """All detections, and how many files hold a hashed entity."""
+    hashed = F.when(F.coalesce("entity_hash", F.lit("")) != "", F.col("file_id"))
+    return detections.agg(F.count(F.lit(1)).alias("total"), F.countDistinct(hashed).alias("hashed_files"))
+
 
-    found = detection_to_finding(detections).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "type", "value", "severity", "line", "confidence"))).alias("findings"))
-    text = latest_by(ocr, "file_id", "ocr_timestamp").select("file_id", "extracted_text")
-    out = newest(files, "upload_date", limit=limit)
-    return out.join(found.withColumnRenamed("file_id", "_f"), F.col("id") == F.col("_f"), "left").drop("_f").join(text.withColumnRenamed("file_id", "_f"), F.col("id") == F.col("_f"), "left").drop("_f")
+def database_info(tables: dict[str, DataFrame], size: int | None = None) -> DataFrame:
+    """A row for each table with its number of rows, and one with the bytes they take, if known."""
+    out = None
+    for name, df in tables.items():
+        one = df.agg(F.lit(f"total_{name}").alias("name"), F.count(F.lit(1)).alias("value"))
+        out = one if out is None else out.union(one)
+    total = out.sparkSession.range(1).select(F.lit("database_size").alias("name"), F.lit(size).cast("long").alias("value"))
+    return out.union(total) if size is not None else out
 
 
-def numbered(df: DataFrame, order: list[str], id: str = "id") -> DataFrame:
-    """Ids from 1 in the order given, without sorting the table in one task: ranks by range partition, then offsets."""
-    ordered = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = ordered.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    return ordered.join(before, F.col("_p") == F.col("_q")).withColumn(id, F.col("_b") + F.col("_k") + 1).drop("_p", "_k", "_q", "_b")
+def statistics_report(files: DataFrame, detections: DataFrame, top: int = 10) -> DataFrame:
+    """``section, name, value``: overall figures, risk, frequent types, redacted documents and entities in several files."""
+    row = lambda df, section, name, value: df.select(F.lit(section).alias("section"), name.cast("string").alias("name"), F.col(value).cast("long").alias("value"))
+    o = overall_stats(files, detections)
+    each = o.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("long").alias("n")) for c in o.columns])).alias("x")).select("x.*")
+    out = row(each, "overall", F.col("name"), "n")
+    out = out.union(row(risk_by_level(files), "risk", F.col("risk_level"), "n")).union(row(top_entities(files, top), "types", F.col("entity_type"), "total"))
+    out = out.union(row(redacted_documents(files), "redactions", F.lit("redacted_documents"), "redacted_documents"))
+    return out.union(row(cross_file_entities(detections, top), "entities", F.col("entity_type"), "occurrences"))

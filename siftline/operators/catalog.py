@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import entity_hash, mask_tracked
+from ..functions.text import entity_hash, mask_tracked, setting_value
+from .analytics import numbered
 
 SCHEMAS = {
     "files": "id long, filename string, file_path string, file_size long, file_format string, upload_date timestamp, file_hash string, status string, error_message string, parsed_content_preview string, risk_score double, risk_level string, document_classification string, redacted_version_path string, redaction_strategy string, total_findings_count int, entity_type_counts map<string,int>, post_redaction_risk_score double, post_redaction_risk_level string, post_redaction_findings_count int",
@@ -37,12 +38,17 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def upsert_files(files: DataFrame, new: DataFrame) -> DataFrame:
-    """A known path keeps its id and takes the new values; an unknown one gets an id above all others, in order of path."""
-    known = files.select("file_path", F.col("id").alias("_id"))
-    top = files.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))  # one row
-    joined = new.drop("id").join(known, "file_path", "left")
-    fresh = joined.where("_id is null").withColumn("_n", F.row_number().over(Window.orderBy("file_path"))).crossJoin(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_n")).drop("_n", "_top", "_id")
-    same = joined.where("_id is not null").withColumn("id", F.col("_id")).drop("_id")
+    """A known path keeps its id and takes the new values; an unknown one gets an id above all others, in order of path.
+
+    Paths are unique: of several new rows of one path the greatest stays, compared column by column in the order of ``new``.
+    """
+    fields = [c for c in new.columns if c != "id"]
+    one = new.groupBy(F.col("file_path").alias("path_")).agg(F.max(F.struct(*fields)).alias("new_")).select("new_.*")
+    known = files.select(F.col("file_path").alias("path_"), F.col("id").alias("id_"))
+    joined = one.join(known, F.col("file_path") == F.col("path_"), "left")
+    same = joined.where("id_ is not null").select(F.col("id_").alias("id"), *fields)
+    top = files.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).first()["id"]  # one row
+    fresh = numbered(joined.where("id_ is null").select(*fields), ["file_path"], start=top + 1)
     return upsert(files, same.unionByName(fresh), ["file_path"])
 
 
@@ -95,7 +101,12 @@ def update_post_redaction(files: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def settings(stored: DataFrame) -> DataFrame:
-    """Stored settings laid over the defaults."""
+    """Stored settings laid over the defaults, as JSON text in ``value``."""
     rows = [(k, v) for k, v in DEFAULT_SETTINGS.items()]
     default = stored.sparkSession.createDataFrame(rows, "key string, value string")
-    return upsert(default, stored.select("key", "value"), ["key"])
+    return upsert(default, stored.select("key", "value"), ["key"]).select("key", "value", setting_value(F.col("value")).alias("json"))
+
+
+def set_settings(stored: DataFrame, new: DataFrame, at: Column) -> DataFrame:
+    """Stored settings with those of ``new`` (key, value) put in."""
+    return upsert(stored, new.select("key", "value", at.alias("updated_at")), ["key"])

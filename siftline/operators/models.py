@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .patterns import LABEL_DIGITS, LABEL_HIGH, LABEL_MEDIUM, LABEL_TYPES, VALIDATOR_LABELS
+from .patterns import ENTITY_HIGH, ENTITY_MEDIUM, ENTITY_TYPES, LABEL_DIGITS, LABEL_HIGH, LABEL_MEDIUM, LABEL_TYPES, VALIDATOR_LABELS
 
 _LOADED: dict[str, object] = {}
 THRESHOLD, VALIDATED = 0.50, 0.55
@@ -27,6 +27,37 @@ def valid_content(kind: str, value: str) -> bool:
     return digits >= LABEL_DIGITS.get(kind, 0) and (kind != "Email" or "@" in value) and (kind != "API Key" or len(value) >= 8)
 
 
+def mapped(name: Column, table: dict[str, str]) -> Column:
+    """The name's entry in a table; itself where it has none."""
+    entries = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.coalesce(F.try_element_at(entries, name), name)
+
+
+def entity_type(label: Column) -> Column:
+    """The type of a recognizer's label."""
+    return mapped(label, ENTITY_TYPES)
+
+
+def label_type(label: Column) -> Column:
+    """The type of an entity model's label."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in LABEL_TYPES.items() for x in pair]), F.lower(label)), label)
+
+
+def validator_label(kind: Column) -> Column:
+    """The validator's label that is expected for a type; null for types it does not know."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in VALIDATOR_LABELS.items() for x in pair]), kind)
+
+
+def entity_severity(label: Column) -> Column:
+    """Severity of a recognizer's label."""
+    return F.when(label.isin(*ENTITY_HIGH), "high").when(label.isin(*ENTITY_MEDIUM), "medium").otherwise("low")
+
+
+def label_severity(kind: Column) -> Column:
+    """Severity of an entity model's type."""
+    return F.when(kind.isin(*LABEL_HIGH), "high").when(kind.isin(*LABEL_MEDIUM), "medium").otherwise("low")
+
+
 def _severity(kind: str) -> str:
     return "high" if kind in LABEL_HIGH else "medium" if kind in LABEL_MEDIUM else "low"
 

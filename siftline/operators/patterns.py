@@ -48,9 +48,10 @@ RECOGNIZERS = (
     Pattern("IP Address", "medium", 0.90, r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b", r"\d\.\d", label="IP_ADDRESS"),
     Pattern("API Key", "high", 0.97, SECRET, r"(?i)(?:api|secret|token|bearer)", label="API_TOKEN"),
 )
-#: A recognizer's context words near a match raise its score; scores stay as listed unless a boost is asked for.
+#: Fixed values. A recognizer's context words near a match raise its score; scores stay as listed unless a boost is asked for.
 RECOGNIZER_CONTEXT = {"EMAIL_ADDRESS": ("email", "mail", "correo", "courriel"), "PHONE_NUMBER": ("phone", "mobile", "tel", "telefono", "téléphone"), "CREDIT_CARD": ("card", "credit", "tarjeta"), "US_SSN": ("ssn", "social security"), "IBAN_CODE": ("iban", "bank", "account", "cuenta", "compte"), "IP_ADDRESS": ("ip", "address", "network", "adresse"), "API_TOKEN": ("token", "api", "secret")}
 
+# Types and severities of recognizers' and models' labels.
 ENTITY_TYPES = {"EMAIL_ADDRESS": "Email", "PHONE_NUMBER": "Phone Number", "CREDIT_CARD": "Credit Card", "US_SSN": "ID Number", "US_PASSPORT": "ID Number", "US_DRIVER_LICENSE": "ID Number", "IBAN_CODE": "Bank Account", "IP_ADDRESS": "IP Address", "API_TOKEN": "API Key", "PERSON": "Person Name", "LOCATION": "Location", "ORGANIZATION": "Organization", "NRP": "ID Number", "DATE_TIME": "Date of Birth", "MEDICAL_LICENSE": "ID Number", "CRYPTO": "API Key", "URL": "URL"}
 ENTITY_HIGH = ("CREDIT_CARD", "US_SSN", "US_PASSPORT", "US_DRIVER_LICENSE", "IBAN_CODE", "API_TOKEN", "MEDICAL_LICENSE", "CRYPTO")
 ENTITY_MEDIUM = ("EMAIL_ADDRESS", "PHONE_NUMBER", "IP_ADDRESS", "DATE_TIME", "NRP")
@@ -62,6 +63,7 @@ LABEL_MEDIUM = ("Email", "Phone Number", "Date of Birth", "IP Address")
 LABEL_DIGITS = {"Phone Number": 4, "Credit Card": 8, "ID Number": 3, "Date of Birth": 1, "IP Address": 4}
 VALIDATOR_LABELS = {"PERSON": "PER", "ORG": "ORG", "GPE": "LOC", "LOC": "LOC", "FAC": "LOC", "Person Name": "PER", "Organization": "ORG", "Location": "LOC", "Group": "MISC"}
 
+# Risk levels, weights and frameworks by type.
 RISK_HIGH = ("Credit Card", "SSN", "Password", "API Key", "API_TOKEN", "US_SSN", "IBAN_CODE", "ID Number", "Bank Account", "Date of Birth", "passport number", "bank account", "date of birth")
 RISK_MEDIUM = ("Email", "Phone Number", "IP Address")
 RISK_LOW = ("Person Name", "Organization", "Location", "Address")

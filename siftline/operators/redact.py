@@ -45,7 +45,8 @@ def redact_spans(text: Column, findings: Column) -> Column:
         last_first = spans.in_order(fs, lambda f: -f["start"])
         return F.aggregate(last_first, text, lambda t, f: F.concat(t.substr(F.lit(1), f["start"]), replacement(f), t.substr(f["end"] + 1, F.length(t))))
 
-    meets = lambda fs: F.exists(F.transform(fs, lambda f, i: F.coalesce(F.get(fs, i - 1)["end"] > f["start"], F.lit(False)) | (f["end"] > F.length(text))), lambda x: x)
+    piles = lambda fs: F.exists(F.transform(fs, lambda f, i: F.coalesce(F.get(fs, i - 1)["end"] > f["start"], F.lit(False))), lambda x: x)
+    meets = lambda fs: piles(fs) | (F.array_max(F.transform(fs, lambda f: f["end"])) > F.length(text))
     ordered = let(findings, lambda raw: let(spans.in_order(raw, lambda f: f["start"]), lambda fs: F.when(F.size(fs) == 0, text).when(meets(fs), piled(raw)).otherwise(let(pages(text), lambda ps: apart(fs, ps)))))
     return F.when(findings.isNull(), F.lit(None)).otherwise(ordered)
 

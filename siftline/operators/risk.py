@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .patterns import FRAMEWORKS, FULL_REDACTION, NAMED_HIGH, RISK_HIGH, RISK_LOW, RISK_MEDIUM, WEIGHTS
 
 HIGH_SCORE, MEDIUM_SCORE = 60, 25
+PREVIEW = 100
 
 
 def _named(names, *columns: Column) -> Column:
@@ -41,6 +42,12 @@ def risk_level(kind: Column, label: Column, severity: Column, confidence: Column
     )
 
 
+def at_least(findings: Column, level: str, **options) -> Column:
+    """The findings of a level or above: ``high``, or ``medium`` for medium and high ones."""
+    of = lambda f: risk_level(f["type"], f["label"], f["severity"], f["confidence"], **options)
+    return F.filter(findings, lambda f: of(f).isin(*({"high": ("high",), "medium": ("medium", "high"), "low": ("low", "medium", "high")}[level])))
+
+
 def distribution(levels: DataFrame, level: str = "risk_level") -> DataFrame:
     """One row with the number of low, medium and high findings."""
     value = F.lower(F.coalesce(level, F.lit("medium")))
@@ -53,6 +60,7 @@ def assess(findings: Column, high: float = HIGH_SCORE, medium: float = MEDIUM_SC
     weight = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     count = lambda s: F.size(F.filter(findings, lambda f: F.lower(F.coalesce(f["severity"], F.lit("medium"))) == s))
     n_high, n_medium, n_low, n = count("high"), count("medium"), count("low"), F.size(findings)
+    by_level = F.map_from_arrays(F.array(F.lit("high"), F.lit("medium"), F.lit("low")), F.array(n_high, n_medium, n_low))
     by_severity = F.least(10 * n_high + 5 * n_medium + 2 * n_low, F.lit(100)).cast("double")
     first = F.lower(F.coalesce(F.get(findings, F.lit(0))["severity"], F.lit("medium")))
     factor = F.when(first == "low", 1).when(first == "high", 3).otherwise(2)
@@ -70,11 +78,12 @@ def assess(findings: Column, high: float = HIGH_SCORE, medium: float = MEDIUM_SC
         .when(level == "medium", F.concat(n, F.lit(" potentially sensitive items detected. Apply partial masking or redaction for names, emails, and phone numbers.")))
         .otherwise("No high-severity sensitive entities were detected.")
     )
+    # The wording of the verdicts.
     message = F.when(n == 0, "No sensitive information detected. Document appears safe to share.").when(level == "high", "Do NOT share this document without redaction.").when(level == "medium", "Review recommended before sharing.").otherwise("Document appears safe to share.")
     strategy = F.when(n == 0, F.create_map(F.lit("default"), F.lit("partial"))).otherwise(F.map_from_arrays(types, F.transform(types, redaction_mode)))
     return F.struct(
         score.alias("risk_score"), level.alias("risk_level"), n.alias("total_findings"), n_high.alias("high_risk_count"), n_medium.alias("medium_risk_count"), n_low.alias("low_risk_count"),
-        F.map_from_entries(counts).alias("findings_by_type"), top.alias("category_at_risk"), message.alias("recommendation"), detail.alias("recommendation_detail"), strategy.alias("redaction_strategy"), (level == "low").alias("safe_to_share"),
+        F.map_from_entries(counts).alias("findings_by_type"), by_level.alias("findings_by_severity"), top.alias("category_at_risk"), message.alias("recommendation"), detail.alias("recommendation_detail"), strategy.alias("redaction_strategy"), (level == "low").alias("safe_to_share"),
     )
 
 
@@ -82,6 +91,11 @@ def redaction_mode(kind: Column) -> Column:
     return F.when(kind.isin(*FULL_REDACTION), "full").otherwise("partial")
 
 
+def preview(findings: Column, most: int = PREVIEW) -> Column:
+    """The findings that a page shows."""
+    return F.slice(findings, 1, most)
+
+
 def compliance(findings: Column) -> Column:
     """Verdict, wording and types concerned for each framework, as a struct of structs."""
     types = F.array_distinct(F.transform(findings, lambda f: f["type"]))

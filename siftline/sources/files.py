@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import re
 import zipfile
 from xml.etree import ElementTree
 
@@ -100,6 +99,3 @@ def parse(files: DataFrame) -> DataFrame:
     packed = files.where(F.col("format").isin(".docx", ".pdf")).withColumn("p", _packed("content", "format")).withColumns({"text": F.col("p.text"), "error": F.col("p.error")}).drop("p")
     return native.unionByName(packed).withColumn("status", F.when(F.col("error").isNull(), "success").otherwise("error"))
 
-
-def safe_name(name: str) -> str:
-    return re.sub(r"[^A-Za-z0-9._-]", "_", name)

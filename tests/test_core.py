@@ -5,6 +5,7 @@ import re
 import shutil
 import subprocess
 import sys
+import time
 import zipfile
 from pathlib import Path
 
@@ -15,7 +16,7 @@ from siftline.functions import text as T
 from siftline.operators import analytics, catalog, models, redact, risk, spans
 from siftline.operators.detect import scan
 from siftline.operators.patterns import PATTERNS
-from siftline.sources import files, sinks
+from siftline.sources import files
 from siftline.streaming import scan as stream
 
 RANK = {"high": 3, "medium": 2, "low": 1}
@@ -165,15 +166,18 @@ def test_tables(spark, tmp_path):
     old = spark.createDataFrame([(1, "/a", 5), (2, "/b", 6)], "id long, file_path string, file_size long")
     new = spark.createDataFrame([("/b", 9), ("/c", 1)], "file_path string, file_size long")
     assert sorted(map(tuple, catalog.upsert_files(old, new).select("id", "file_path", "file_size").collect())) == [(1, "/a", 5), (2, "/b", 9), (3, "/c", 1)]
-    assert dict(map(tuple, catalog.settings(spark.createDataFrame([("default_scan_mode", "deep")], "key string, value string")).collect()))["default_scan_mode"] == "deep"
+    assert dict(map(tuple, catalog.settings(spark.createDataFrame([("default_scan_mode", "deep")], "key string, value string")).select("key", "value").collect()))["default_scan_mode"] == "deep"
     rows = spark.createDataFrame([(1, 1, "x"), (2, 1, "x"), (3, 1, None), (4, 1, None)], "id long, file_id long, data_found string")
     assert sorted(r["id"] for r in analytics.dedupe(rows, ["file_id", "data_found"]).collect()) == [1, 3, 4]
     assert [r["n"] for r in analytics.numbered(rows.select("data_found", F.col("id").alias("k")), ["k"], "n").orderBy("k").collect()] == [1, 2, 3, 4]
     for name in catalog.SCHEMAS:
         assert catalog.empty_table(spark, name).count() == 0
-    sinks.replace_partitions(rows, str(tmp_path / "t"))
-    sinks.replace_partitions(rows.where("id = 1"), str(tmp_path / "t"))
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 1
+    old = spark.createDataFrame([(7, "/a", 1)], "id long, file_path string, file_size long")
+    twice = spark.createDataFrame([("/n", 1), ("/n", 2), ("/a", 3)], "file_path string, file_size long")
+    assert sorted(map(tuple, catalog.upsert_files(old, twice).select("id", "file_path", "file_size").collect())) == [(7, "/a", 3), (8, "/n", 2)]
+    clash = spark.createDataFrame([(1, 5, 9, 9)], "id long, _key long, _p long, _k long")
+    assert analytics.latest_by(clash, "_key", "_p").columns == clash.columns
+    assert analytics.numbered(clash, ["_key"], "no").columns == [*clash.columns, "no"]
 
 
 def test_model_plugin(spark):
@@ -192,6 +196,28 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).select(F.explode("findings").alias("f")).select("f.type").first()["type"] == "Email"
 
 
+def test_columns_of_the_caller_stay(spark):
+    df = spark.createDataFrame([("mail a@b.co", "mine", "old", "x")], "text string, _text string, findings string, `a.b` string")
+    out = scan(df)
+    assert sorted(out.columns) == ["_text", "a.b", "findings", "text"] and out.first()["_text"] == "mine"
+    assert scan(df, "deep").first()["transformer"][0]["validated"] is False
+
+
+def test_very_many_matches_in_one_text(spark):
+    n = 50_000
+    texts = [" ".join(f"u{k}@x.com\n" for k in range(n)), " ".join("a@b.com" for k in range(n))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(2)
+    began = time.time()
+    got = {r["id"]: r for r in scan(df).select("id", F.size("findings").alias("n"), F.element_at("findings", -1).alias("f"), redact.redact_spans(F.col("text"), F.col("findings")).alias("r")).collect()}
+    assert got[0]["n"] == got[1]["n"] == n and got[0]["f"]["line"] == n and got[0]["f"]["value"] == f"u{n - 1}@x.com"
+    assert got[1]["r"] == " ".join(["a@***om"] * n)
+    quick = time.time() - began
+    got = {r["id"]: r["n"] for r in scan(df, "standard").select("id", F.size("findings").alias("n")).collect()}
+    assert got == {0: n, 1: 1}
+    print("seconds", quick, time.time() - began - quick)
+    assert time.time() - began < 90
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
