@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import analytics, catalog, redact, risk, spans
-from ..operators.detect import all_findings, confidence_breakdown, exploded, normalised, pattern_findings, recognizer_findings, scan
+from ..operators.detect import aggregate_facts, all_findings, confidence_breakdown, exploded, normalised, pattern_findings, recognizer_findings, scan
 from ..operators.patterns import PATTERNS
 from ..sources.files import sql_facts, text_facts, validity
 from ..sources.tables import read_table
@@ -223,6 +223,21 @@ def standard_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confidence_breakdown(found(spark, sf_dir, "standard"))
 
 
+def deep_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fullest mode without a validator's model: nothing is validated, all findings stay."""
+    f = found(spark, sf_dir, "deep")
+    return f.select("doc_id", F.posexplode(F.arrays_zip("findings", "transformer")).alias("pos", "f")).select("doc_id", "pos", "f.findings.type", "f.findings.value", "f.findings.confidence", "f.transformer.validated")
+
+
+def aggregate_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = found(spark, sf_dir, "standard")
+    model = spans.empty(spans.FINDING)
+    facts = aggregate_facts({"regex": F.col("regex_findings"), "model": model, "recognizers": F.col("recognizer_findings")}, F.col("findings"))
+    listed = F.transform(F.map_entries("a.by_engine"), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    out = spans.derive(f, a=facts).select("doc_id", "a.total_inputs", F.array_sort(listed).alias("l"), "a.total_merged")
+    return out.select("doc_id", "total_inputs", F.concat(F.lit("["), F.array_join("l", ", "), F.lit("]")).alias("by_engine"), "total_merged")
+
+
 def recognizer_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).withColumn("t", normalised(F.col("text"))).select("doc_id", recognizer_findings(F.col("t")).alias("findings"))
     return exploded(docs, "doc_id").select("doc_id", "type", "label", "value", "masked_value", "start", "end", "confidence")
@@ -285,7 +300,7 @@ QUERIES = {
         for f in (
             quick_scan, risk_by_level, mask_variants, entity_hashes, luhn_checks, pattern_literals, risk_level_cases, risk_distribution, doc_risk_scores, compliance_verdicts, findings_by_type, overall_stats, detection_stats, entity_tracking,
             cross_file_entities, risk_analytics, top_entities, dashboard, file_history, high_risk_join, recent_files, files_by_format, page_offset, latest_per_key, dup_content, dedupe_min_id, redact_text, replacement_map, post_redaction,
-            findings_by_mode, standard_scan, standard_breakdown, recognizer_scan, subsumed, txt_stats, sql_text_stats, file_validity, upsert_files, log_errors, ocr_statistics, ocr_language_codes, export_report,
+            findings_by_mode, standard_scan, standard_breakdown, deep_scan, aggregate_meta, recognizer_scan, subsumed, txt_stats, sql_text_stats, file_validity, upsert_files, log_errors, ocr_statistics, ocr_language_codes, export_report,
         )
     },
 }
