@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import analytics, catalog, models, redact, redaction, risk, spans
-from ..operators.detect import exploded, keep_entity
+from ..operators.detect import keep_entity
 from ..operators.patterns import ENTITY_TYPES, LABEL_TYPES
 from ..sources.files import KEYWORDS, sql_facts
 from ..sources.store import Store, persist_scan
