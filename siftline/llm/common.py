@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import read_table  # noqa: F401  for the operators and the pipeline
+
 #: A word is a run of characters other than ASCII white space. ``bytes.split()`` cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 WHITE = b" \t\n\r\x0b\x0c"
@@ -60,10 +62,6 @@ def materialize(df: DataFrame, name: str = "table", codec: str = "zstd") -> Data
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def map_rows(df: DataFrame, rows: Callable[[Iterator[dict]], Iterator[tuple]], schema: str, batch_bytes: int = 16 << 20, batch_rows: int = 10_000) -> DataFrame:
     """``mapInArrow`` for a generator of tuples over dicts, with bounded output batches.
 
