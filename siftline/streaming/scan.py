@@ -1,4 +1,8 @@
-"""Arriving text files scanned as a stream: the batch functions on micro-batches, exactly once by the batch's number."""
+"""Arriving text files scanned as a stream: the batch functions on micro-batches.
+
+A batch that runs again overwrites its own folder, so each file counts once for
+readers that take finished batches only: those whose folder holds ``_SUCCESS``.
+"""
 
 from __future__ import annotations
 
@@ -31,6 +35,15 @@ def start(spark: SparkSession, path: str, out: str, checkpoint: str, most: int =
     return arriving(spark, path, most).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def finished(spark: SparkSession, out: str) -> DataFrame:
+    """The results of all finished batches; a half-written folder is left out."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(out)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = [s.getPath().toString() for s in fs.listStatus(folder) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return spark.read.option("basePath", out).parquet(*done)
+
+
 def risk_by_window(events: DataFrame, time: str = "modificationTime", width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Files by risk level in windows of arrival; rows later than ``late`` are left out."""
     return events.withWatermark(time, late).groupBy(F.window(time, width), F.col("risk.risk_level").alias("risk_level")).agg(F.count(F.lit(1)).alias("n"))

@@ -193,6 +193,10 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in/a.txt").write_text("mail test@example.com")
     q = stream.start(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
+    (tmp_path / "out/batch=9").mkdir()
+    (tmp_path / "out/batch=9/part-0.parquet").write_bytes(b"half")
+    assert stream.finished(spark, str(tmp_path / "out")).count() == 1
+    shutil.rmtree(tmp_path / "out/batch=9")
     assert spark.read.parquet(str(tmp_path / "out")).select(F.explode("findings").alias("f")).select("f.type").first()["type"] == "Email"
 
 
@@ -225,6 +229,14 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
+def test_files_by_window_of_arrival(spark, tmp_path):
+    for k, text in enumerate(("mail a@b.co", "4111 1111 1111 1111 " * 8, "nothing")):
+        (tmp_path / f"{k}.txt").write_text(text)
+    found = stream.scanned(spark.read.format("binaryFile").load(str(tmp_path)))
+    rows = stream.risk_by_window(found).collect()
+    assert sum(r["n"] for r in rows) == 3 and {r["risk_level"] for r in rows} == {"low", "high"}
+
+
 @pytest.mark.parametrize("gone", [("siftline/llm", "tests/llm"), ("siftline/llm", "tests/llm", "corpus_pipeline.py")])
 def test_rest_stands_alone(tmp_path, gone):
     copy = tmp_path / "copy"
