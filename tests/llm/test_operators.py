@@ -111,7 +111,7 @@ def test_binomial_bounds():
 
 def test_main_text(spark):
     page = "<html><head><title>t</title><script>x<y</script></head><body><nav><a href=1>Menu</a></nav><header>Top</header><article><h1>A &amp; B</h1><p>One <b>bold</b>\n text<br>two<p>three</p><div class='comments'><p>Nice!</p></div></article><aside>side</aside><form>f</form><footer>foot</footer></body>"
-    assert html_text.main_text(page.encode()) == "A & B\nOne bold text\ntwo\nthree"
+    assert html_text.main_text(page.encode()) == "A & B\nOne bold text two\nthree"
     plain = "<body><ul><li><a href=1>Home</a></li><li><a href=2>News</a></li></ul><div><p>" + "Long text here. " * 20 + "</p><p>" + "More of it. " * 20 + "</p></div><div class=sidebar><p>" + "Buy this. " * 30 + "</p></div></body>"
     assert html_text.main_text(plain.encode()) == ("Long text here. " * 20).strip() + "\n" + ("More of it. " * 20).strip()
     rows = [(1, "u", page, "x"), (1, None, None, "x"), (None, "u", "", "x"), (2, "u", "<p>" * 3000 + "deep", "x"), (3, "u", "<a href='>unclosed", "x")]
