@@ -73,3 +73,16 @@ def test_tables_go(spark):
     assert os.path.exists(path)
     common.remove_tables(spark)
     assert not os.path.exists(path)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(dict)
+
+    class Session:
+        sparkContext = Context
+
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        common.shared_dir(Session)
