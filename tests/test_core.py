@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import text as T
 from siftline.operators import analytics, catalog, models, redact, risk, spans
-from siftline.operators.detect import scan
+from siftline.operators.detect import confidence_breakdown, scan
 from siftline.operators.patterns import PATTERNS
 from siftline.sources import files
 from siftline.streaming import scan as stream
@@ -188,6 +188,15 @@ def test_model_plugin(spark):
     assert models.validate(scan(df), None).first()["transformer"] == []
 
 
+def test_deep_scan_validates(spark):
+    df = spark.createDataFrame([("write to test@example.com now",), ("nothing",), (None,)], "text string")
+    found = scan(df, "deep", validator=lambda: lambda context: [{"entity": "B-PER", "score": 0.5}, {"entity": "I-MISC", "score": 0.9}])
+    rows = [r["transformer"] for r in found.orderBy(F.size("findings").desc()).collect()]
+    assert [(t["confidence"], t["validated"]) for t in rows[0]] == [(0.9, True)] and rows[1:] == [[], []]
+    facts = {r["source"]: (r["count"], r["avg_confidence"], r["validated"]) for r in confidence_breakdown(found).collect()}
+    assert facts["transformer"] == (1, 0.9, 1) and facts["gliner"] == (0, 0.0, None) and facts["regex"] == (1, None, None) and facts["presidio"][0] == 1
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.txt").write_text("mail test@example.com")
