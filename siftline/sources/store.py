@@ -40,11 +40,14 @@ class Store:
     def _part(self, name: str) -> Column:
         return F.pmod(F.xxhash64(F.col(OWNER.get(name, "file_id")).cast("long")), F.lit(self.parts)).cast("int")
 
-    def read(self, name: str) -> DataFrame:
-        schema = catalog.SCHEMAS[name]
+    def _dealt(self, name: str) -> DataFrame:
+        schema = f"{catalog.SCHEMAS[name]}, part int"
         if not self._there(f"{self.path}/{name}"):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(f"{schema}, part int").parquet(f"{self.path}/{name}").drop("part")
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+
+    def read(self, name: str) -> DataFrame:
+        return self._dealt(name).drop("part")
 
     def size(self) -> int:
         """Bytes that the store takes."""
@@ -64,7 +67,7 @@ class Store:
         key, schema = OWNER.get(name, "file_id"), catalog.SCHEMAS[name]
         fields = self.spark.createDataFrame([], schema).columns
         touched = [r["part"] for r in ids.select(F.col("id").alias(key)).select(self._part(name).alias("part")).distinct().collect()]  # at most ``parts``
-        old = self.read(name).where(self._part(name).isin(touched)) if touched else self.read(name).where(F.lit(False))
+        old = self._dealt(name).where(F.col("part").isin(touched)) if touched else self._dealt(name).where(F.lit(False))
         left = old.join(ids.select(F.col("id").alias(key)).distinct(), key, "left_anti")
         new = left.select(*fields).unionByName(catalog.evolve(rows, schema).select(*fields)).withColumn("part", self._part(name))
         stage = f"{self.path}/_stage/{name}-{uuid.uuid4().hex}"
@@ -81,6 +84,11 @@ class Store:
         fs, at = self._fs(stage)
         fs.delete(at, True)
 
+    def clean(self) -> None:
+        """Removes staged copies. Results of ``persist_scan`` read them: call it once these have been read."""
+        fs, at = self._fs(f"{self.path}/_stage")
+        fs.delete(at, True)
+
     def delete_files(self, ids: DataFrame) -> None:
         """Files and all that belongs to them."""
         for name in ("detections", "ocr_results", "redactions", "files"):
@@ -93,7 +101,8 @@ def persist_scan(store: Store, scanned: DataFrame, at: Column) -> DataFrame:
     ``scanned`` has path, name, format, size, hash, text, findings, and perhaps
     ``source`` (``ocr`` for recognised text) and ``ocr`` (struct of confidence,
     word_count, ocr_language). ``at`` is the time of the scan. Returns path, id, duplicate_of (the
-    newest other file with the same content) and the compliance verdicts.
+    newest other file with the same content) and the compliance verdicts; these
+    read a staged copy of the batch, which ``Store.clean`` removes.
     """
     spark = store.spark
     fixed = scanned.withColumns({"risk": assess(F.col("findings")), "verdicts": compliance(F.col("findings"))})

@@ -53,6 +53,8 @@ def test_persist_and_restore(spark, tmp_path):
     store.append("logs", spark.createDataFrame([(1, "INFO", "kept")], "id long, log_level string, message string"))
     assert store.read("logs").count() == 1 and store.size() > 0
     store.delete_files(store.read("files").where("id = 2"))
+    store.clean()
+    assert not (tmp_path / "store/_stage").exists()
     assert sorted(r["id"] for r in store.read("files").collect()) == [1, 3, 4] and store.read("ocr_results").count() == 0 and store.read("detections").count() == 1
 
 
