@@ -75,8 +75,8 @@ SENTENCES = {
     "cc-by-work-the": "this work is licensed under the creative commons attribution 4 0 international license",
     "cc-by-sa-work-the": "this work is licensed under the creative commons attribution sharealike 4 0 international license",
 }
-#: Licences that a line with an SPDX identifier may name.
-SPDX = ("Apache-2.0", "MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-2.0", "EPL-2.0", "BSL-1.0", "Zlib", "Unlicense", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0")
+#: Licences that a line with an SPDX identifier may name; a plus sign behind one is not told from its absence.
+SPDX = ("Apache-2.0", "MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-2.0", "EPL-2.0", "BSL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "Zlib", "Unlicense", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0")
 SENTENCES |= {f"spdx-{x.lower()}": "spdx license identifier " + re.sub("[^a-z0-9]+", " ", x.lower()) for x in SPDX}
 #: Ordered rules: licence and its sentences.
 _RULES = (
@@ -155,6 +155,15 @@ STEPS = (
 )
 
 
+def _words(text: str) -> str:
+    """A pattern of words with a space, and perhaps a break, between them."""
+    return f"(?: {BREAK})? ".join(text.split())
+
+
+#: The holder's name in a clause stands for any: pattern and what it becomes.
+HOLDER = (f"{_words('neither the name of')}(?:(?: [{END}{BREAK}])? (?!nor )[^ {END}{BREAK}]+){{1,12}}+(?: [{END}{BREAK}])? {_words('nor the names of')}(?:(?: {BREAK})? its)?(?= )", "neither the name of the copyright holder nor the names of its")
+
+
 def hint(sentences: dict[str, str]) -> str:
     """A pattern that every text with one of the sentences matches: a few words, of which each sentence has one."""
     left, words = list(sentences.values()), []
@@ -170,10 +179,10 @@ def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     out = F.lower(text)
     for pattern, sign in STEPS:
         out = F.regexp_replace(out, pattern, sign)
-    out = F.concat(F.lit(f" {END} "), F.trim(out), F.lit(f" {END} "))
+    out = F.regexp_replace(F.concat(F.lit(f" {END} "), F.trim(out), F.lit(f" {END} ")), *HOLDER)
     # The longer first: a sentence may begin with another one.
     for k, s in sorted(sentences.items(), key=lambda x: -len(x[1])):
-        pattern = f"(?<=[{END}{BREAK}] )" + f"(?: {BREAK})? ".join(s.split()) + f"(?= [{END}{BREAK}])"
+        pattern = f"(?<=[{END}{BREAK}] ){_words(s)}(?= [{END}{BREAK}])"
         out = F.regexp_replace(out, pattern, KNOWN + k)
     parts = F.filter(F.transform(F.split(out, f"[{END}{BREAK}]", -1), lambda s: F.trim(s)), lambda s: s != "")
     ids = F.transform(parts, lambda s: F.when(s.startswith(KNOWN), F.substring(s, 2, 1000)).otherwise("-"))

@@ -62,6 +62,14 @@ def test_notices_as_published(spark):
     assert {k: v for k, v in got.items() if v != wanted[k]} == {}
 
 
+def test_any_holder_in_the_third_clause(spark):
+    names = ["Google Inc.", "the University of California, Berkeley", "Some & One GmbH", "the <organization>"]
+    rows = [(10 * k + j, "\n\n".join(textwrap.fill(p.replace("the copyright holder", n), w) for p in BSD) + "\n") for k, n in enumerate(names) for j, w in enumerate((10_000, 60, 30))]
+    rows += [(100, "\n".join(BSD[:3]) + "\nNeither the name of " + "x " * 40 + "nor the names of its contributors may be used.\n")]
+    got = {r["doc_id"]: (r["licenses"], r["n_matches"]) for r in licenses.recognise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got.pop(100) == ("BSD-2-Clause", 1) and set(got.values()) == {("BSD-3-Clause", 1)}
+
+
 def test_every_rule_by_its_sentences(spark):
     rows, wanted = [], {}
     for k, (name, sequence) in enumerate(licenses.RULES):
