@@ -2,65 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import read_table  # noqa: F401  for the operators and the pipeline
+from ..sources.tables import materialize, read_table, remove_tables, shared_dir  # noqa: F401  for the operators and the pipeline
 
 #: A word is a run of characters other than ASCII white space. ``bytes.split()`` cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 WHITE = b" \t\n\r\x0b\x0c"
 
-_MADE: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors see.
-
-    It lies under ``spark.checkpoint.dir``. Where that is unset in local mode
-    (tests), a local temporary folder becomes the session's checkpoint folder and
-    goes when Python ends; on a cluster that is an error.
-    """
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not base:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="siftline-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        context.setCheckpointDir(base)
-        base = context.getCheckpointDir()
-    path = f"{base.rstrip('/')}/siftline-{uuid.uuid4().hex}"
-    _MADE.append(path)
-    return path
-
-
-def remove_tables(spark: SparkSession) -> None:
-    """Removes the intermediate tables that this session has written so far. Results that read them must have been written before."""
-    jvm = spark.sparkContext._jvm
-    while _MADE:
-        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def materialize(df: DataFrame, name: str = "table", codec: str = "zstd") -> DataFrame:
-    """Write a table to the shared folder and read it again.
-
-    Lineage ends at the files, so a lost executor costs no recomputation, and a
-    plan that joins the result starts from a scan: adaptive execution can then
-    split a skewed partition on either side.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
 
 def map_rows(df: DataFrame, rows: Callable[[Iterator[dict]], Iterator[tuple]], schema: str, batch_bytes: int = 16 << 20, batch_rows: int = 10_000) -> DataFrame:
     """``mapInArrow`` for a generator of tuples over dicts, with bounded output batches.

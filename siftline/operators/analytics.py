@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialize
+
 
 def newest(df: DataFrame, time: str, id: str = "id", limit: int | None = None, offset: int = 0) -> DataFrame:
     """The latest rows, a page of them if asked: a top-k, not a full sort, where there is a limit."""
@@ -170,9 +172,13 @@ def session(files: DataFrame, detections: DataFrame, ocr: DataFrame, limit: int
 
 
 def numbered(df: DataFrame, order: list[str], id: str = "id", start: int = 1) -> DataFrame:
-    """Ids from ``start`` in the order given, without sorting the table in one task: ranks by range partition, then offsets."""
+    """Ids from ``start`` in the order given, without sorting the table in one task: ranks by range partition, then offsets.
+
+    The ranks are written before they are counted: a second run of the same plan may cut its ranges elsewhere.
+    """
     row = F.struct(*df.columns).alias("row")
     ordered = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).select(row, F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("k"))
+    ordered = materialize(ordered, "ordered")
     sizes = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each partition
     before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     return ordered.join(before, "part").select("row.*", (F.col("before") + F.col("k") + start).alias(id))

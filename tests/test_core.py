@@ -180,6 +180,15 @@ def test_tables(spark, tmp_path):
     assert analytics.numbered(clash, ["_key"], "no").columns == [*clash.columns, "no"]
 
 
+def test_numbers_of_many_rows(spark):
+    """Rows of several range partitions, whose other columns weigh more than the key."""
+    n = 20_000
+    text = F.concat(*[F.sha2(F.concat(F.lit(f"{k} "), F.col("id").cast("string")), 512) for k in range(8)])
+    rows = spark.range(n, numPartitions=4).select(F.format_string("/in/%05d", F.pmod(F.col("id") * 7919, F.lit(n))).alias("path"), text.alias("text"))
+    got = analytics.numbered(rows, ["path"], "no", start=5).select("path", "no", F.length("text").alias("size")).collect()
+    assert sorted((r["path"], r["no"], r["size"]) for r in got) == [(f"/in/{k:05d}", k + 5, 1024) for k in range(n)]
+
+
 def test_model_plugin(spark):
     df = spark.createDataFrame([("Ann is here",)], "text string")
     load = lambda: lambda text, labels: [{"start": 0, "end": 3, "label": "person", "score": 0.9}, {"start": 4, "end": 6, "label": "person", "score": 0.9}]
