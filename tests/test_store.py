@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from siftline.operators import analytics, catalog, images, redaction, risk
+from siftline.operators import analytics, catalog, images, redaction, risk, spans
 from siftline.operators.detect import scan
 from siftline.sources import files, sinks
 from siftline.sources.store import Store, persist_scan
@@ -58,6 +58,18 @@ def test_persist_and_restore(spark, tmp_path):
     assert sorted(r["id"] for r in store.read("files").collect()) == [1, 3, 4] and store.read("ocr_results").count() == 0 and store.read("detections").count() == 1
 
 
+def test_session_of_many_files(spark, tmp_path):
+    """The newest files are those of the last paths, with their own names, when a batch takes several range partitions."""
+    n = 12_000
+    text = F.concat(*[F.sha2(F.concat(F.lit(f"{k} "), F.col("id").cast("string")), 512) for k in range(4)])
+    path = F.format_string("/in/%05d", F.pmod(F.col("id") * 7919, F.lit(n)))
+    rows = spark.range(n, numPartitions=4).select(path.alias("path"), F.substring(path, 5, 5).alias("name"), F.lit(".txt").alias("format"), "id", F.lit(1).cast("long").alias("size"), F.sha2(path, 256).alias("hash"), text.alias("text"), F.array().cast(f"array<{spans.FINDING}>").alias("findings"))
+    store = Store(spark, str(tmp_path / "store"), parts=2)
+    persist_scan(store, rows.drop("id"), at(1))
+    back = analytics.session(store.read("files"), store.read("detections"), store.read("ocr_results"), limit=50)
+    assert sorted((r["id"], r["filename"]) for r in back.select("id", "filename").collect()) == [(k + 1, f"{k:05d}") for k in range(n - 50, n)]
+
+
 def test_redaction_of_files(spark, tmp_path):
     mail, card = "bob@mail.com", "4111 1111 1111 1111"
     rows = [
