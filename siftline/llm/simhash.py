@@ -10,12 +10,12 @@ by more bits, which bounds it by the few bits left open.
 
 64 bits cannot tell texts whose 5-word shingles have a similarity of 0.8 from
 less similar ones. ``keep_one`` therefore takes 256 bits. Its tiles hold the
-fingerprints that agree on one of the blocks of bits they are cut into: twenty
-blocks of 12 bits for up to two million texts, where two texts of similarity 0.8,
-which differ in 15% of bits, share a tile with a probability of 95%, and of over
-99.9% from 0.9 on. A block has more bits where there are more texts, so tiles do
-not grow with the input and comparisons stay in proportion to it. A tile with over
-``slice_rows`` rows is cut into slices, and each pair of slices is compared.
+fingerprints that agree on one of the twenty blocks of 12 bits they are cut into,
+however many texts there are: two texts of similarity 0.8, which differ in 15% of
+bits, share a tile with a probability of 95%, and of over 99.9% from 0.9 on. The
+blocks are the same for every input, so whether two texts meet does not depend on
+the number of others; tiles grow with it, and comparisons with its square. A tile
+with over ``slice_rows`` rows is cut into slices, and each pair of slices is compared.
 
 Such links are only candidates. Texts that agree on one of ``BANDS`` bands of
 ``BAND`` least shingle hashes are candidates too, whatever their fingerprints.
@@ -44,6 +44,8 @@ from .components import connected_components
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: For near copies. Similarity 0.8 is expected at 39 of 256 differing bits, 0.7 at 49, 0.6 at 59.
 WIDE_SHINGLE, WIDE_RADIUS, WIDE = 5, 44, ("f0", "f1", "f2", "f3")
+#: Bits of a block, on all inputs.
+BLOCK = 12
 #: Shingles that a slice of a component of candidates holds when it is verified.
 SLICE = 1 << 21
 #: Least Jaccard similarity of the shingle sets of near copies.
@@ -221,7 +223,7 @@ def _by_tile(rows: DataFrame, parts: tuple[str, ...], find: Callable, schema: st
     return parted.mapInArrow(run, schema)
 
 
-def _stars(x: np.ndarray, radius: int, most: int = 32) -> tuple[np.ndarray, np.ndarray]:
+def _stars(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Every wide fingerprint but the first of each component, and that first one.
 
     A component is searched from its first member. Those found leave the rows
@@ -231,21 +233,26 @@ def _stars(x: np.ndarray, radius: int, most: int = 32) -> tuple[np.ndarray, np.n
     count = np.bitwise_count(x).sum(axis=1, dtype=np.int64)
     order = np.argsort(count, kind="stable")
     x, count = x[order], count[order]
-    left, a, b = np.arange(len(x)), [x[:0]], [x[:0]]
+    # The rows left, word by word: a comparison then runs over whole columns.
+    left, words, bits, a, b = np.arange(len(x)), np.ascontiguousarray(x.T), count, [x[:0]], [x[:0]]
     while len(left) > 1:
-        root, front, left = left[0], left[:1], left[1:]
-        while len(front) and len(left):
-            now, front = front[:most], front[most:]
-            lo = np.searchsorted(count[left], count[now].min() - radius)
-            hi = np.searchsorted(count[left], count[now].max() + radius, side="right")
-            window = left[lo:hi]
-            near = (np.bitwise_count(x[window, None] ^ x[None, now]).sum(axis=2, dtype=np.uint16) <= radius).any(axis=1)
-            if near.any():
-                hit = window[near]
+        root, front = left[0], [left[0]]
+        left, words, bits = left[1:], words[:, 1:], bits[1:]
+        while front and len(left):
+            now = front.pop()
+            lo, hi = np.searchsorted(bits, (count[now] - radius, count[now] + radius + 1))
+            far = np.zeros(hi - lo, np.uint16)
+            for column, own in zip(words, x[now], strict=True):
+                far += np.bitwise_count(column[lo:hi] ^ own)
+            near = lo + np.flatnonzero(far <= radius)
+            if len(near):
+                hit = left[near]
                 a.append(x[hit])
                 b.append(np.broadcast_to(x[root], (len(hit), x.shape[1])))
-                front = np.concatenate([front, hit])
-                left = np.concatenate([left[:lo], window[~near], left[hi:]])
+                front.extend(hit.tolist())
+                stays = np.ones(len(left), bool)
+                stays[near] = False
+                left, words, bits = left[stays], words[:, stays], bits[stays]
     return np.concatenate(a), np.concatenate(b)
 
 
@@ -254,11 +261,15 @@ def _node() -> Column:
 
 
 def block_bits(n: int) -> int:
-    """Bits of a block for ``n`` fingerprints: 12, or so many that a tile is expected to hold at most 512."""
+    """Bits of a block with which a tile of ``n`` fingerprints is expected to hold at most 512, 12 at least.
+
+    For callers of ``wide_links`` who would rather lose links than compare more;
+    ``near_classes`` does not use it, as its results would follow the number of texts.
+    """
     return min(32, max(12, math.ceil(math.log2(max(n, 1) / 512))))
 
 
-def wide_links(fps: DataFrame, radius: int = WIDE_RADIUS, slice_rows: int = 16_384, small: int = 256, bits: int = 12) -> DataFrame:
+def wide_links(fps: DataFrame, radius: int = WIDE_RADIUS, slice_rows: int = 16_384, small: int = 256, bits: int = BLOCK) -> DataFrame:
     """Links ``a, b`` between hashes of the distinct wide fingerprints ``fps`` that share a tile of ``bits`` equal bits and lie within ``radius`` bits."""
     per = 64 // bits
     blocks = [F.struct(F.lit(w * per + k).cast("long").alias("block"), F.shiftrightunsigned(f, bits * k).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).alias("bits")) for w, f in enumerate(WIDE) for k in range(per)]
@@ -277,8 +288,10 @@ def wide_links(fps: DataFrame, radius: int = WIDE_RADIUS, slice_rows: int = 16_3
         for s, e in zip(np.append(0, ends[:-1]), ends, strict=True):
             x = fp[s:e]
             if 1 < len(x) <= small:  # most tiles hold no link; one comparison of all settles them
-                near = np.bitwise_count(x[:, None] ^ x[None]).sum(axis=2, dtype=np.uint16) <= radius
-                x = x[near.sum(axis=1) > 1]
+                far = np.zeros((len(x), len(x)), np.uint16)
+                for column in x.T:
+                    far += np.bitwise_count(column[:, None] ^ column[None])
+                x = x[(far <= radius).sum(axis=1) > 1]
             if len(x) > 1:
                 for held, part in zip((a, b), _stars(x, radius), strict=True):
                     held.append(part)
@@ -354,8 +367,7 @@ def _candidates(texts: DataFrame, radius: int) -> DataFrame:
     shared = materialize(rows.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("bucket", "least"), "shared")
     stars = rows.join(shared, "bucket").select(F.col("node").alias("a"), F.col("least").alias("b")).where("a <> b")
     first = materialize(texts.groupBy(_node().alias("fp")).agg(F.min("node").alias("least")), "first")
-    bits = block_bits(texts.count())
-    found = materialize(wide_links(texts.select(*WIDE).distinct(), radius, bits=bits).distinct(), "links")
+    found = materialize(wide_links(texts.select(*WIDE).distinct(), radius, bits=BLOCK).distinct(), "links")
     ends = [first.select(F.col("fp").alias(x), F.col("least").alias(f"{x}_least")) for x in "ab"]
     return stars.union(found.join(ends[0], "a").join(ends[1], "b").select("a_least", "b_least"))
 

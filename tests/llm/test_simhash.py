@@ -147,3 +147,21 @@ def test_wide_links_by_block_width(spark, bits):
         got = [(r["a"], r["b"]) for r in simhash.wide_links(table, slice_rows=slice_rows, bits=bits).collect()]
         assert plain_components(nodes, got) == plain_components(nodes, close)
     assert table.where(F.lit(False)).count() == 0
+
+
+@pytest.mark.parametrize("chosen", [12, 15, 32])
+def test_candidates_do_not_follow_the_number_of_texts(spark, monkeypatch, chosen):
+    """Whatever width would suit the number of texts, those that agree on 12 bits meet. They share no band."""
+    monkeypatch.setattr(simhash, "block_bits", lambda n: chosen, raising=False)
+    rng = random.Random(24)
+    rows = []
+    for _ in range(40):
+        x = [rng.getrandbits(64) for _ in range(4)]
+        rows.append(x)
+        rows.append([v ^ sum(1 << b for b in rng.sample(range(64), 10)) for v in x])
+    signed = [(k, *(v - (1 << 64) if v >> 63 else v for v in r), [k]) for k, r in enumerate(rows)]
+    texts = spark.createDataFrame(signed, "node long, " + ", ".join(f"{f} long" for f in simhash.WIDE) + ", buckets array<long>")
+    meet = lambda a, b: any((p ^ q) >> 12 * k & 0xFFF == 0 for p, q in zip(a, b, strict=True) for k in range(5))
+    want = {(k, k + 1) for k in range(0, 80, 2) if meet(rows[k], rows[k + 1])}
+    got = {tuple(sorted(r)) for r in simhash._candidates(texts, simhash.WIDE_RADIUS).select("a", "b").collect()}
+    assert len(want) > 20 and got == want
